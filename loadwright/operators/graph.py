@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loadwright.functions.lists import excluded_columns
 from loadwright.functions.names import fold, joined_names
 from loadwright.operators.skew import lookup_join
-from loadwright.sources.scratch import cut
+from loadwright.sources.scratch import settle
 
 
 class LoadTiers(NamedTuple):
@@ -52,7 +52,7 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     fewest unmet dependencies, then the first by name) gives up its unmet dependencies;
     these edges are returned as dropped.  Rounds are those of the worst environment.
 
-    The frontier is two written tables.  A round tags the open edges (target loaded, given
+    The frontier is two checkpointed tables.  A round tags the open edges (target loaded, given
     up, or still open), then rebuilds the nodes from them with one aggregation, which
     combines map-side however many edges point at one table.
 
@@ -65,22 +65,22 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         .withColumn("tier", F.when(F.col("_n") > 1, F.raise_error(same).cast("int")).otherwise(F.lit(0)))
         .select(*key, "tier")
     )
-    members, found = cut(members, "tables")
+    members, _ = settle(members)
     in_scope = _inside(
         edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst"))
         .where(F.col("src") != F.col("dst")).distinct(),
         members.select("org_key", F.col("t").alias("dst")))
-    tagged, _ = cut(in_scope.withColumns({"target_tier": F.lit(None).cast("int"), "given_up": F.lit(False)}), "edges")
+    tagged, _ = settle(in_scope.withColumns({"target_tier": F.lit(None).cast("int"), "given_up": F.lit(False)}))
     nodes, seen = _rebuild(members.withColumn("unmet", F.lit(1).cast("long")), tagged)
     waves, given_up = [], []
     round_no = 0
     while seen["rows"]:
-        waves.append(nodes.where(F.col("unmet") == 0))
+        waves.append(nodes.where("unmet = 0"))
         if seen["rows"] == seen["ready"]:
             break
         round_no += 1
         tagged = _tag(tagged, nodes, seen)
-        given_up.append(tagged.where("given_up").select("org_key", "src", "dst", F.lit(round_no).alias("round")))
+        given_up.append(tagged.where("given_up").selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
         nodes, seen = _rebuild(nodes, tagged)
     nothing = in_scope.select("org_key", "src", "dst", F.lit(0).alias("round")).where("false")
     leveled = waves or [nodes]
@@ -90,44 +90,35 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
 
 def _tag(edges: DataFrame, nodes: DataFrame, seen: dict[str, int]) -> DataFrame:
     """Open edges after this round: tier of a target that is free now, or given up."""
-    ready = nodes.where(F.col("unmet") == 0).select("org_key", F.col("t").alias("dst"), F.col("tier").alias("target_tier"))
-    first = F.min(F.struct((-F.col("dependents")).alias("d"), "unmet", F.upper("t").alias("n"), "t"))
-    hubs = (
-        nodes.groupBy("org_key").agg(F.min("unmet").alias("least"), first.alias("hub"))
-        .where(F.col("least") > 0).select("org_key", F.col("hub.t").alias("src"), F.lit(True).alias("hit"))
-    )
-    still_open = edges.where(F.col("target_tier").isNull() & ~F.col("given_up")).select("org_key", "src", "dst")
+    ready = nodes.where("unmet = 0").selectExpr("org_key", "t AS dst", "tier AS target_tier")
+    hubs = nodes.groupBy("org_key").agg(
+        F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t)).t AS src"),
+    ).where("least > 0").selectExpr("org_key", "src", "true AS hit")
+    still_open = edges.where(_OPEN).select("org_key", "src", "dst")
     met = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=seen["ready"])
     marked = lookup_join(met, hubs, ["org_key", "src"], right_rows=seen["rows"])
-    tagged, _ = cut(
-        marked.select("org_key", "src", "dst", "target_tier",
-                      F.coalesce("hit", F.lit(False)).alias("given_up")), "edges")
+    tagged, _ = settle(marked.selectExpr(
+        "org_key", "src", "dst", "target_tier", "coalesce(hit, false) AS given_up"))
     return tagged
 
 
+_OPEN = "target_tier IS NULL AND NOT given_up"
+
+
 def _rebuild(nodes: DataFrame, tagged: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """Tables still waiting: tier so far, open dependencies, open dependents."""
-    zero, one = F.lit(0), F.lit(1)
-
-    def part(df: DataFrame, table: str, tier, waiting, unmet, dependents) -> DataFrame:
-        return df.select("org_key", F.col(table).alias("t"), tier.alias("tier"), waiting.alias("waiting"),
-                         unmet.alias("unmet"), dependents.alias("dependents"))
-
-    still_open = tagged.where(F.col("target_tier").isNull() & ~F.col("given_up"))
-    loaded = tagged.where(F.col("target_tier").isNotNull())
-    facts = (
-        part(nodes.where(F.col("unmet") > 0), "t", F.col("tier"), one, zero, zero)
-        .unionByName(part(still_open, "src", zero, zero, one, zero))
-        .unionByName(part(still_open, "dst", zero, zero, zero, one))
-        .unionByName(part(loaded, "src", F.col("target_tier") + 1, zero, zero, zero))
-    )
-    waiting = (
-        facts.groupBy("org_key", "t")
-        .agg(F.max("tier").alias("tier"), F.max("waiting").alias("waiting"),
-             F.sum("unmet").alias("unmet"), F.sum("dependents").alias("dependents"))
-        .where(F.col("waiting") == 1).drop("waiting")
-    )
-    return cut(waiting, "nodes", ready=F.count_if(F.col("unmet") == 0))
+    waiting = nodes.where("unmet > 0").selectExpr(
+        "org_key", "t", "tier", "true AS waiting", "0 AS unmet", "0 AS dependents")
+    from_edges = tagged.where("NOT given_up").selectExpr("org_key", """inline(
+        CASE WHEN target_tier IS NULL
+             THEN array(struct(src AS t, 0 AS tier, false AS waiting, 1 AS unmet, 0 AS dependents),
+                        struct(dst AS t, 0 AS tier, false AS waiting, 0 AS unmet, 1 AS dependents))
+             ELSE array(struct(src AS t, target_tier + 1 AS tier, false AS waiting, 0 AS unmet, 0 AS dependents))
+        END)""")
+    rebuilt = waiting.union(from_edges).groupBy("org_key", "t").agg(*map(F.expr, (
+        "max(tier) AS tier", "bool_or(waiting) AS waiting", "sum(unmet) AS unmet", "sum(dependents) AS dependents",
+    ))).where("waiting").drop("waiting")
+    return settle(rebuilt, ready=F.expr("count_if(unmet = 0)"))
 
 
 def break_cycles(tables: DataFrame, edges: DataFrame) -> DataFrame:
