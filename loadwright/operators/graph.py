@@ -35,13 +35,15 @@ def dependency_edges(columns: DataFrame, selection: DataFrame, exclusions: str |
         .select("org_key", "src", fold("target").alias("dst"))
         .where(F.col("src") != F.col("dst")).distinct()
     )
-    return _inside(pairs, selection.select("org_key", fold("table").alias("dst")).distinct())
+    members = selection.select("org_key", fold("table").alias("t")).distinct()
+    return _inside(pairs, members, members.count())
 
 
-def _inside(edges: DataFrame, tables: DataFrame) -> DataFrame:
-    inside = lookup_join(edges, tables, ["org_key", "dst"], "left_semi")
-    sources = tables.withColumnRenamed("dst", "src")
-    return lookup_join(inside, sources, ["org_key", "src"], "left_semi").select("org_key", "src", "dst")
+def _inside(edges: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
+    for end in ("dst", "src"):
+        tables = members.select("org_key", F.col("t").alias(end))
+        edges = lookup_join(edges, tables, ["org_key", end], "left_semi", right_rows=n_members)
+    return edges.select("org_key", "src", "dst")
 
 
 def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
@@ -65,11 +67,11 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         .withColumn("tier", F.when(F.col("_n") > 1, F.raise_error(same).cast("int")).otherwise(F.lit(0)))
         .select(*key, "tier")
     )
-    members, _ = settle(members)
+    members, found = settle(members)
     in_scope = _inside(
         edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst"))
         .where(F.col("src") != F.col("dst")).distinct(),
-        members.select("org_key", F.col("t").alias("dst")))
+        members, found["rows"])
     tagged, _ = settle(in_scope.withColumns({"target_tier": F.lit(None).cast("int"), "given_up": F.lit(False)}))
     nodes, seen = _rebuild(members.withColumn("unmet", F.lit(1).cast("long")), tagged)
     waves, given_up = [], []
@@ -83,9 +85,9 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         given_up.append(tagged.where("given_up").selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
         nodes, seen = _rebuild(nodes, tagged)
     nothing = in_scope.select("org_key", "src", "dst", F.lit(0).alias("round")).where("false")
-    leveled = waves or [nodes]
-    tiers = reduce(DataFrame.unionByName, leveled).select("org_key", F.col("t").alias("table"), "tier")
-    return LoadTiers(tiers, reduce(DataFrame.unionByName, given_up, nothing))
+    tiers, _ = settle(reduce(DataFrame.union, waves, nodes.where("false")).selectExpr("org_key", "t AS table", "tier"))
+    dropped, _ = settle(reduce(DataFrame.union, given_up, nothing))
+    return LoadTiers(tiers, dropped)
 
 
 def _tag(edges: DataFrame, nodes: DataFrame, seen: dict[str, int]) -> DataFrame:

@@ -19,31 +19,43 @@ class KeyMap(NamedTuple):
     conflicts: DataFrame
 
 
-def build_key_map(target_rows: DataFrame, id_col: str, match_key: str, carried: Sequence[str] = ()) -> KeyMap:
+def _keyed(target_rows: DataFrame, id_col: str, match_key: str, carried: Sequence[str]) -> DataFrame:
+    return target_rows.select(F.col(id_col).cast("string").alias("target_id"),
+                              F.nullif(F.col(match_key).cast("string"), F.lit("")).alias("legacy_key"), *carried)
+
+
+def _best(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
+    return rows.where(F.col("legacy_key").isNotNull()).groupBy("legacy_key").agg(
+        F.min(F.struct("target_id", *carried)).alias("_best"), F.max("target_id").alias("_last"))
+
+
+def key_map_entries(target_rows: DataFrame, id_col: str, match_key: str, carried: Sequence[str] = ()) -> DataFrame:
     """Map from the loaded rows of one table: target_id, legacy_key, then the carried columns.
 
-    Of several rows with one match key the lowest target id wins; the others are conflicts
-    (``duplicate``), as are rows without a match key (``missing``).  The winner is an
-    aggregate, so a key shared by very many rows is combined before the shuffle; it is
-    written once and read for both results.
+    Of several rows with one match key the lowest target id wins; rows without a match key
+    cannot be looked up and are left out.  The winner is an aggregate, so a key shared by
+    very many rows is combined before the shuffle.
+    """
+    best = _best(_keyed(target_rows, id_col, match_key, carried), carried)
+    return best.select("_best.target_id", "legacy_key", *(f"_best.{c}" for c in carried))
+
+
+def build_key_map(target_rows: DataFrame, id_col: str, match_key: str, carried: Sequence[str] = ()) -> KeyMap:
+    """``key_map_entries``, and the rows that lost to another row or have no match key.
+
+    The aggregate is written once and read for both; only keys that several target ids
+    share take part in the search for conflicts.
     """
-    carried = list(carried)
-    rows = target_rows.select(F.col(id_col).cast("string").alias("target_id"),
-                              F.col(match_key).cast("string").alias("legacy_key"), *carried)
-    key = F.nullif("legacy_key", F.lit(""))
-    keyed = rows.where(key.isNotNull())
-    best, seen = cut(
-        keyed.groupBy("legacy_key").agg(F.min(F.struct("target_id", *carried)).alias("_best"),
-                                        F.max("target_id").alias("_last")),
-        "key-map", contested=F.count_if(F.col("_best.target_id") != F.col("_last")))
+    rows = _keyed(target_rows, id_col, match_key, carried)
+    is_shared = F.col("_best.target_id") != F.col("_last")
+    best, seen = cut(_best(rows, carried), "key-map", shared=F.count_if(is_shared))
     entries = best.select("_best.target_id", "legacy_key", *(f"_best.{c}" for c in carried))
-    contested = best.where(F.col("_best.target_id") != F.col("_last")).select(
-        "legacy_key", F.col("_best.target_id").alias("kept_id"))
-    losers = lookup_join(keyed, contested, ["legacy_key"], "inner", right_rows=seen["contested"]).where(
-        F.col("target_id") != F.col("kept_id"))
+    winners = best.where(is_shared).select("legacy_key", F.col("_best.target_id").alias("kept_id"))
+    losers = lookup_join(rows.where(F.col("legacy_key").isNotNull()), winners, ["legacy_key"], "inner",
+                         right_rows=seen["shared"]).where(F.col("target_id") != F.col("kept_id"))
     conflicts = losers.select("target_id", "legacy_key", "kept_id", F.lit("duplicate").alias("reason")).unionByName(
-        rows.where(key.isNull()).select("target_id", "legacy_key", F.lit(None).cast("string").alias("kept_id"),
-                                        F.lit("missing").alias("reason")))
+        rows.where(F.col("legacy_key").isNull()).select(
+            "target_id", "legacy_key", F.lit(None).cast("string").alias("kept_id"), F.lit("missing").alias("reason")))
     return KeyMap(entries, conflicts)
 
 

@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwright.operators.keymap import build_key_map
+from loadwright.operators.keymap import key_map_entries
 from loadwright.operators.resolve import deferred_update, resolve_lookups
 from loadwright.operators.staging import StagedColumn, stage_rows
 from loadwright.sources.tables import DROP_AND_RECREATE, accumulate_key_map, publish, write_staging
@@ -69,7 +69,7 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
             rows = rows.withColumns({f"{column}_id": F.lit(None).cast("string"),
                                      f"{column}_status": F.lit(None).cast("string")})
         loaded[table] = publish(job.load(rows), f"{database}.loaded_{table}")
-        entries = build_key_map(loaded[table], "target_id", job.match_key).entries
+        entries = key_map_entries(loaded[table], "target_id", job.match_key)
         keep = publish if job.rebuild_key_map else accumulate_key_map
         key_maps[table] = keep(entries, f"{database}.guid_{table}")
 

@@ -12,7 +12,7 @@ from loadwright.operators import scope
 from loadwright.operators.dictionary import dictionary_columns, dictionary_index, dictionary_tables
 from loadwright.operators.graph import (LoadTiers, cycle_warnings, dependency_diagram_edges, dependency_edges,
                                         load_tiers)
-from loadwright.operators.keymap import build_key_map
+from loadwright.operators.keymap import build_key_map, key_map_entries
 from loadwright.operators.report import profile_staged, unresolved_report
 from loadwright.operators.resolve import deferred_update, resolve_lookups, resolve_polymorphic
 from loadwright.operators.skew import lookup_join, previous_in_group
@@ -21,6 +21,7 @@ from loadwright.operators.waves import row_waves
 from loadwright.options import PlanOptions
 from loadwright.plans.batches import load_batches, load_order, plan_summary
 from loadwright.plans.run import TableLoad, run_plan
+from loadwright.sources.scratch import settle
 from loadwright.sources.snapshots import attribute_targets, flatten_snapshot, read_snapshot
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map,
                                        clustered_lookup, cluster_by_match_key, rebuild_key_map, reset_staging,
@@ -168,7 +169,7 @@ def crm_plan(spark: SparkSession, sf_dir: str) -> LoadTiers:
 
 def crm_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     plan = crm_plan(spark, sf_dir)
-    return load_batches(plan.tiers, BATCH_SIZE), plan.dropped
+    return settle(load_batches(plan.tiers, BATCH_SIZE))[0], plan.dropped
 
 
 def dependency_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,7 +538,8 @@ def staged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the id of their customer, and the tier in which the plan loads them."""
     plan = load_batches(_one_plan(spark, TPCH_EDGES).tiers)
-    maps = {"customer": customer_map(spark, sf_dir).entries}
+    customers = loaded(spark, sf_dir, "customer", "c_custkey")
+    maps = {"customer": key_map_entries(customers, "target_id", "c_custkey")}
     rows = resolve_lookups(stage_orders(spark, sf_dir), {"O_CustKey": "customer"}, maps)
     place = plan.select(F.col("table"), "tier", "file_no")
     marked = rows.select("o_orderkey", "O_CustKey_id", "O_CustKey_status", F.lit("orders").alias("table"))
