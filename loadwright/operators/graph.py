@@ -73,6 +73,7 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         .where(F.col("src") != F.col("dst")).distinct(),
         members, found["rows"])
     tagged, _ = settle(in_scope.withColumns({"target_tier": F.lit(None).cast("int"), "given_up": F.lit(False)}))
+    n_orgs = members.select("org_key").distinct().count()
     nodes, seen = _rebuild(members.withColumn("unmet", F.lit(1).cast("long")), tagged)
     waves, given_up = [], []
     round_no = 0
@@ -81,7 +82,7 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         if seen["rows"] == seen["ready"]:
             break
         round_no += 1
-        tagged = _tag(tagged, nodes, seen)
+        tagged = _tag(tagged, nodes, seen["ready"], n_orgs)
         given_up.append(tagged.where("given_up").selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
         nodes, seen = _rebuild(nodes, tagged)
     nothing = in_scope.select("org_key", "src", "dst", F.lit(0).alias("round")).where("false")
@@ -90,15 +91,15 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     return LoadTiers(tiers, dropped)
 
 
-def _tag(edges: DataFrame, nodes: DataFrame, seen: dict[str, int]) -> DataFrame:
+def _tag(edges: DataFrame, nodes: DataFrame, n_ready: int, n_orgs: int) -> DataFrame:
     """Open edges after this round: tier of a target that is free now, or given up."""
     ready = nodes.where("unmet = 0").selectExpr("org_key", "t AS dst", "tier AS target_tier")
     hubs = nodes.groupBy("org_key").agg(
         F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t)).t AS src"),
     ).where("least > 0").selectExpr("org_key", "src", "true AS hit")
     still_open = edges.where(_OPEN).select("org_key", "src", "dst")
-    met = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=seen["ready"])
-    marked = lookup_join(met, hubs, ["org_key", "src"], right_rows=seen["rows"])
+    met = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=n_ready)
+    marked = lookup_join(met, hubs, ["org_key", "src"], right_rows=n_orgs)
     tagged, _ = settle(marked.selectExpr(
         "org_key", "src", "dst", "target_tier", "coalesce(hit, false) AS given_up"))
     return tagged

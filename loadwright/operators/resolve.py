@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,18 +62,28 @@ def resolve_polymorphic(staged: DataFrame, lookup: str, key_maps: Mapping[str, D
                        _status(key, F.col("_id")).alias(f"{lookup}_status"))
 
 
-def deferred_update(loaded: DataFrame, lookups: Mapping[str, str], key_maps: Mapping[str, DataFrame]) -> DataFrame:
-    """Fills ``<lookup>_id`` of lookups that were left null to break a cycle.
-
-    ``lookups`` are those on dropped edges.  An id that is there already is not changed.
-    """
+def _fill(loaded: DataFrame, lookups: Iterable[str], resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Resolve again, and keep every id that is there already."""
+    lookups = list(lookups)
     before = loaded.drop(*(f"{name}_status" for name in lookups)).withColumnsRenamed(
         {f"{name}_id": f"_was_{name}" for name in lookups})
-    again = resolve_lookups(before, lookups, key_maps)
     filled = {name: F.coalesce(f"_was_{name}", f"{name}_id") for name in lookups}
-    rows = again.withColumns({
+    rows = resolve(before).withColumns({
         **{f"{name}_id": found for name, found in filled.items()},
         **{f"{name}_status": _status(F.col(name), found) for name, found in filled.items()},
     })
     added = [f"{name}_status" for name in lookups if f"{name}_status" not in loaded.columns]
     return rows.select(*loaded.columns, *added)
+
+
+def deferred_update(loaded: DataFrame, lookups: Mapping[str, str], key_maps: Mapping[str, DataFrame]) -> DataFrame:
+    """Fills ``<lookup>_id`` of lookups that were left null to break a cycle.
+
+    ``lookups`` are those on dropped edges.  An id that is there already is not changed.
+    """
+    return _fill(loaded, lookups, lambda rows: resolve_lookups(rows, lookups, key_maps))
+
+
+def deferred_polymorphic(loaded: DataFrame, lookup: str, key_maps: Mapping[str, DataFrame]) -> DataFrame:
+    """As ``deferred_update`` for a lookup of which some targets were loaded later."""
+    return _fill(loaded, [lookup], lambda rows: resolve_polymorphic(rows, lookup, key_maps))

@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadwright.operators.keymap import key_map_entries
-from loadwright.operators.resolve import deferred_update, resolve_lookups
-from loadwright.operators.staging import StagedColumn, stage_rows
-from loadwright.sources.tables import DROP_AND_RECREATE, accumulate_key_map, publish, write_staging
+from loadwright.operators.resolve import (deferred_polymorphic, deferred_update, resolve_lookups,
+                                          resolve_polymorphic)
+from loadwright.operators.staging import StagedColumn, split_rejects
+from loadwright.options import PlanOptions
+from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map, publish,
+                                       rebuild_key_map, write_staging)
 
 
 @dataclass(frozen=True)
 class TableLoad:
     """What one table needs: its rows, layout, match key, lookups and the loader.
 
-    ``load`` takes the resolved rows to the target system and returns them with the
-    ``target_id`` the target gave each row.
+    ``lookups`` names the target table of each lookup column, ``polymorphic`` the possible
+    targets of each lookup whose target is named in its ``type`` companion.  ``load`` takes
+    the resolved rows to the target system and returns them with the ``target_id`` the
+    target gave each row.
     """
 
     source: DataFrame
@@ -29,21 +34,23 @@ class TableLoad:
     match_key: str
     load: Callable[[DataFrame], DataFrame]
     lookups: Mapping[str, str] = field(default_factory=dict)
+    polymorphic: Mapping[str, list[str]] = field(default_factory=dict)
     scales: Mapping[str, int] = field(default_factory=dict)
-    staging_mode: str = DROP_AND_RECREATE
-    rebuild_key_map: bool = False
 
 
 @dataclass(frozen=True)
 class LoadedTables:
-    loaded: dict[str, DataFrame]
-    key_maps: dict[str, DataFrame]
-    staging: dict[str, str]
+    """Per table: the loaded rows, its key map, the rejects, and the name of its staging table."""
+
+    loaded: dict[str, DataFrame] = field(default_factory=dict)
+    key_maps: dict[str, DataFrame] = field(default_factory=dict)
+    rejects: dict[str, DataFrame] = field(default_factory=dict)
+    staging: dict[str, str] = field(default_factory=dict)
 
 
 def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: Mapping[str, TableLoad],
-             database: str, parallel: int = 4) -> LoadedTables:
-    """Load the tables of one environment in plan order.
+             database: str, options: PlanOptions = PlanOptions(), parallel: int = 4) -> LoadedTables:
+    """Load the tables of one environment in plan order, under the prefixes and modes of ``options``.
 
     ``order`` has (table, tier) and ``dropped`` (src, dst) of that environment: one row
     per job to start and per lookup to postpone.  Tables of a tier run side by side; a
@@ -54,33 +61,45 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
     for row in order.select("table", "tier").collect():
         tiers.setdefault(row["tier"], []).append(row["table"].lower())
     late = {(r["src"], r["dst"]) for r in dropped.select("src", "dst").collect()}
-    loaded: dict[str, DataFrame] = {}
-    key_maps: dict[str, DataFrame] = {}
-    staging: dict[str, str] = {}
+    done = LoadedTables()
+
+    def postponed(table: str, target: str) -> bool:
+        return target == table or (table, target) in late
 
     def load_one(table: str) -> None:
         job = loads[table]
-        staging[table] = f"{database}.stage_{table}"
-        staged = write_staging(stage_rows(job.source, job.columns, job.scales), staging[table], job.columns,
-                               job.staging_mode)
-        now = {c: t for c, t in job.lookups.items() if (table, t) not in late and t != table}
-        rows = resolve_lookups(staged, now, key_maps)
-        for column in job.lookups.keys() - now.keys():
-            rows = rows.withColumns({f"{column}_id": F.lit(None).cast("string"),
-                                     f"{column}_status": F.lit(None).cast("string")})
-        loaded[table] = publish(job.load(rows), f"{database}.loaded_{table}")
-        entries = key_map_entries(loaded[table], "target_id", job.match_key)
-        keep = publish if job.rebuild_key_map else accumulate_key_map
-        key_maps[table] = keep(entries, f"{database}.guid_{table}")
+        name = f"{database}.{options.staging_prefix}{table}"
+        split = split_rejects(job.source, job.columns, [job.match_key], job.scales)
+        staged = write_staging(split.clean, name, job.columns,
+                               DROP_AND_RECREATE if options.staging_drop_recreate else CREATE_IF_MISSING)
+        done.staging[table] = name
+        done.rejects[table] = publish(split.rejects, f"{database}.rejects_{table}")
+        rows = resolve_lookups(
+            staged, {c: t for c, t in job.lookups.items() if not postponed(table, t)}, done.key_maps)
+        for column, targets in job.polymorphic.items():
+            known = {t: done.key_maps[t] for t in targets if not postponed(table, t)}
+            rows = resolve_polymorphic(rows, column, known) if known else rows
+        missing = [c for c in (*job.lookups, *job.polymorphic) if f"{c}_id" not in rows.columns]
+        empty = F.lit(None).cast("string")
+        rows = rows.withColumns({f"{c}_{part}": empty for c in missing for part in ("id", "status")})
+        done.loaded[table] = publish(job.load(rows), f"{database}.loaded_{table}")
+        entries = key_map_entries(done.loaded[table], "target_id", job.match_key)
+        keep = rebuild_key_map if options.key_map_drop_recreate else accumulate_key_map
+        done.key_maps[table] = keep(entries, f"{database}.{options.key_map_prefix}{table}")
 
     def update_one(table: str) -> None:
         job = loads[table]
-        postponed = {c: t for c, t in job.lookups.items() if (table, t) in late or t == table}
-        if postponed:
-            loaded[table] = publish(deferred_update(loaded[table], postponed, key_maps), f"{database}.loaded_{table}")
+        single = {c: t for c, t in job.lookups.items() if postponed(table, t)}
+        mixed = [c for c, targets in job.polymorphic.items() if any(postponed(table, t) for t in targets)]
+        if not single and not mixed:
+            return
+        rows = deferred_update(done.loaded[table], single, done.key_maps)
+        for column in mixed:
+            rows = deferred_polymorphic(rows, column, {t: done.key_maps[t] for t in job.polymorphic[column]})
+        done.loaded[table] = publish(rows, f"{database}.loaded_{table}")
 
     with ThreadPoolExecutor(parallel) as pool:
         for tier in sorted(tiers):
             list(pool.map(inheritable_thread_target(spark)(load_one), tiers[tier]))
         list(pool.map(inheritable_thread_target(spark)(update_one), [t for tier in tiers.values() for t in tier]))
-    return LoadedTables(loaded, key_maps, staging)
+    return done

@@ -9,6 +9,7 @@ from loadwright.operators.keymap import build_key_map, key_map_entries, merge_ke
 from loadwright.operators.report import profile_staged, unresolved_report
 from loadwright.operators.resolve import deferred_update, resolve_lookups, resolve_polymorphic
 from loadwright.operators.staging import StagedColumn, split_rejects, stage_rows, table_columns
+from loadwright.options import PlanOptions
 from loadwright.plans.run import TableLoad, run_plan
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map, clustered_lookup,
                                        cluster_by_match_key, publish, rebuild_key_map, reset_staging, teardown,
@@ -217,6 +218,35 @@ def test_run_defers_cycles_and_reset_keeps_key_maps(spark, database):
     assert not spark.catalog.tableExists(done.staging["emp"]) and spark.catalog.tableExists(f"{database}.guid_dept")
 
 
+def test_run_with_polymorphic_lookups_and_rejects(spark, database):
+    """note -> account, contact and note -> task (postponed); task -> note."""
+    plan = load_tiers(
+        spark.createDataFrame([("o", t) for t in ("account", "contact", "note", "task")], "org_key string, table string"),
+        spark.createDataFrame([("o", "note", "account"), ("o", "note", "contact"), ("o", "note", "task"), ("o", "task", "note")],
+                              "org_key string, src string, dst string"))
+    assert {(r.src, r.dst) for r in plan.dropped.collect()} == {("note", "task")}
+
+    def job(rows, schema, key, **more):
+        columns = [StagedColumn(c.split()[0], "NVARCHAR(8)") for c in schema.split(", ")]
+        return TableLoad(spark.createDataFrame(rows, schema), columns, key,
+                         lambda df: df.withColumn("target_id", F.concat(F.lit("T-"), key)), **more)
+
+    loads = {
+        "account": job([("a1",), ("a2-is-too-long",)], "k string", "k"),
+        "contact": job([("c1",)], "k string", "k"),
+        "note": job([("n1", "a1", "account"), ("n2", "c1", "Contact"), ("n3", "t1", "task"), ("n4", "c9", "contact")],
+                    "k string, about string, abouttype string", "k", polymorphic={"about": ["account", "contact", "task"]}),
+        "task": job([("t1", "n1")], "k string, note string", "k", lookups={"note": "note"}),
+    }
+    done = run_plan(spark, plan.tiers, plan.dropped, loads, database, PlanOptions(staging_prefix="in_", key_map_prefix="ids_"))
+    assert rows(done.loaded["note"], "k", "about_id", "about_status") == {
+        ("n1", "T-a1", "resolved"): 1, ("n2", "T-c1", "resolved"): 1, ("n3", "T-t1", "resolved"): 1,
+        ("n4", None, "unresolved"): 1}
+    assert rows(done.loaded["task"], "note_id") == {("T-n1",): 1}
+    assert rows(done.rejects["account"]) == {("a2-is-too-long", "k", "length", "a2-is-too-long"): 1}
+    assert spark.table(f"{database}.in_account").count() == 1 and spark.table(f"{database}.ids_account").count() == 1
+
+
 def test_profile(spark):
     staged = spark.createDataFrame([("ab", 1), ("abc", None), ("ab", 1)], "Name string, n int")
     dictionary = spark.createDataFrame([("name", "NVARCHAR(5)"), ("n", "INT")], "name string, sql_type string")
