@@ -93,13 +93,19 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
 
 def _tag(edges: DataFrame, nodes: DataFrame, n_ready: int, n_orgs: int) -> DataFrame:
     """Open edges after this round: tier of a target that is free now, or given up."""
-    ready = nodes.where("unmet = 0").selectExpr("org_key", "t AS dst", "tier AS target_tier")
-    hubs = nodes.groupBy("org_key").agg(
-        F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t)).t AS src"),
-    ).where("least > 0").selectExpr("org_key", "src", "true AS hit")
     still_open = edges.where(_OPEN).select("org_key", "src", "dst")
-    met = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=n_ready)
-    marked = lookup_join(met, hubs, ["org_key", "src"], right_rows=n_orgs)
+    if n_ready:
+        ready = nodes.where("unmet = 0").selectExpr("org_key", "t AS dst", "tier AS target_tier")
+        marked = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=n_ready)
+    else:
+        marked = still_open.selectExpr("*", "CAST(NULL AS INT) AS target_tier")
+    if n_ready and n_orgs == 1:  # the only environment is not stuck
+        marked = marked.selectExpr("*", "false AS hit")
+    else:
+        hubs = nodes.groupBy("org_key").agg(
+            F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t)).t AS src"),
+        ).where("least > 0").selectExpr("org_key", "src", "true AS hit")
+        marked = lookup_join(marked, hubs, ["org_key", "src"], right_rows=n_orgs)
     tagged, _ = settle(marked.selectExpr(
         "org_key", "src", "dst", "target_tier", "coalesce(hit, false) AS given_up"))
     return tagged

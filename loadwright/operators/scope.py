@@ -67,6 +67,21 @@ def visible_solutions(solutions: DataFrame) -> DataFrame:
     return numbered.select("org_key", "solution_id", "unique_name", "label", "position")
 
 
+def chosen_solutions(visible: DataFrame, picks: DataFrame) -> DataFrame:
+    """The solution each environment works with, where that restricts anything.
+
+    ``picks`` (org_key, solution) holds remembered unique names.  Without a pick, or with
+    one that is not visible, the first solution listed is taken.
+    """
+    remembered = picks.groupBy("org_key").agg(F.min("solution").alias("_pick"))
+    listed = lookup_join(visible, remembered, ["org_key"])
+    is_pick = same_name("unique_name", F.coalesce(F.nullif("_pick", F.lit("")), F.lit(UNRESTRICTED)))
+    best = listed.groupBy("org_key").agg(
+        F.min(F.struct((~is_pick).alias("other"), "position", "solution_id", "unique_name")).alias("best"))
+    return best.where(~same_name("best.unique_name", F.lit(UNRESTRICTED))).select(
+        "org_key", "best.solution_id", "best.unique_name")
+
+
 def solution_membership(components: DataFrame, chosen: DataFrame) -> Membership:
     """Tables (with their behavior) and attributes of the solution chosen per environment.
 

@@ -196,6 +196,16 @@ steps AS (
 ended AS (SELECT * FROM steps WHERE len(pending) = 0)"""
 
 
+def _reset(verb: str, file: str, schema: str) -> str:
+    shown = "upper(\"table\"[1]) || lower(\"table\"[2:])"
+    return f"""WITH {BATCHES}
+        SELECT org_key, '{file}' AS file_name, CAST(1 AS INTEGER) AS block, reverse_no, "table",
+               '{verb} [{schema}].[stage_' || {shown} || '];' AS statement FROM batches
+        UNION ALL
+        SELECT org_key, '{file}', CAST(2 AS INTEGER), reverse_no, "table",
+               '-- {verb} [{schema}].[guid_' || {shown} || '];' FROM batches"""
+
+
 def _md5(table: str, key: str) -> str:
     return f"md5('{table}|' || CAST({key} AS VARCHAR))"
 
@@ -280,6 +290,19 @@ ORACLE: dict[str, str] = {
                  AS position
         FROM suppliers, {values(fleet.SOLUTIONS, 'unique_name, friendly_name, managed, visible, parent')}
         WHERE visible AND parent IS NULL""",
+    "chosen_solutions": f"""WITH {SUPPLIERS},
+        listed AS (
+          SELECT org_key, unique_name,
+                 upper(coalesce(nullif([NULL, 'ZETA', 'patch1', 'gamma', ''][key % 5 + 1], ''), 'Default')) AS pick,
+                 row_number() OVER (PARTITION BY org_key
+                   ORDER BY CASE WHEN unique_name = 'Default' THEN 0 ELSE 1 END, upper(friendly_name)) AS place
+          FROM suppliers, {values(fleet.SOLUTIONS, 'unique_name, friendly_name, managed, visible, parent')}
+          WHERE visible AND parent IS NULL AND NOT (unique_name = 'Default' AND key % 2 = 1)),
+        first AS (
+          SELECT *, row_number() OVER (PARTITION BY org_key
+                      ORDER BY CASE WHEN upper(unique_name) = pick THEN 0 ELSE 1 END, place) AS rank FROM listed)
+        SELECT org_key, org_key || '|' || unique_name AS solution_id, unique_name FROM first
+        WHERE rank = 1 AND unique_name != 'Default'""",
     "solution_membership": f"""WITH {SOLUTION_ROWS}
         SELECT org_key, 'entity' AS kind, object_id, CAST(min(coalesce(behavior, 0)) AS INTEGER) AS behavior
         FROM components WHERE key % 3 != 0 AND solution = 'zeta' AND type = 1 GROUP BY org_key, object_id
@@ -399,6 +422,59 @@ ORACLE: dict[str, str] = {
                CAST(max(file_no) AS INTEGER) AS n_batches, CAST(2 * max(file_no) + 3 AS INTEGER) AS n_outputs,
                coalesce(max(w.n), 0) AS n_warnings
         FROM batches b LEFT JOIN warned w ON b.org_key = w.org_key GROUP BY b.org_key""",
+    "staging_scripts": f"""WITH {COLUMNS},
+        blocks AS (
+          SELECT org_key, name, sql_type, 1 AS block,
+                 CASE WHEN is_lookup AND coalesce(len(targets), 0) = 0 THEN '    -- lookup (no targets reported)'
+                      WHEN is_lookup THEN CASE WHEN is_polymorphic THEN '    -- polymorphic ' ELSE '    -- ' END
+                        || 'lookup: ' || array_to_string(targets[1:5], ', ')
+                        || CASE WHEN len(targets) > 5 THEN ', ... (+' || (len(targets) - 5) || ' more)' ELSE '' END
+                      WHEN is_type_companion THEN '    -- target table name for the polymorphic lookup above'
+                      ELSE '' END AS comment
+          FROM columns
+          UNION ALL
+          SELECT org_key, name, sql_type, block, ''
+          FROM suppliers, (VALUES ('overriddencreatedon', 'DATETIME2(7)', 2), ('ownerid', 'NVARCHAR(100)', 3),
+                                  ('owneridtype', 'NVARCHAR(100)', 4), ('statecode', 'INT', 5)) AS v(name, sql_type, block))
+        SELECT org_key, '01_create_staging.sql' AS file_name, CAST(1 AS INTEGER) AS pos, 'x_case' AS "table",
+               'DROP TABLE IF EXISTS [dbo].[stage_x_Case];' || chr(10) || 'CREATE TABLE [dbo].[stage_x_Case](' || chr(10)
+               || string_agg('    [' || name || '] ' || sql_type || CASE WHEN block < 5 THEN ',' ELSE '' END || comment,
+                             chr(10) ORDER BY block, upper(name)) || chr(10) || ');' AS statement
+        FROM blocks GROUP BY org_key""",
+    "key_map_scripts": f"""WITH {COLUMNS}, {KEY_MAP.format(match="ends_with(lower(name), 'legacyid')")}
+        SELECT org_key, '01_create_guid.sql' AS file_name, CAST(1 AS INTEGER) AS pos, 'x_case' AS "table",
+               'IF OBJECT_ID(N''[dbo].[ids_x_Case]'', N''U'') IS NULL' || chr(10) || 'BEGIN' || chr(10)
+               || 'CREATE TABLE [dbo].[ids_x_Case](' || chr(10)
+               || string_agg('    [' || name || '] ' || sql_type || ' NULL', ',' || chr(10) ORDER BY block, upper(name))
+               || chr(10) || ');' || chr(10) || 'END' || chr(10)
+               || 'IF NOT EXISTS (SELECT 1 FROM sys.indexes WHERE [name] = N''IX_ids_x_Case_x_legacyid'' AND [object_id] = '
+               || 'OBJECT_ID(N''[dbo].[ids_x_Case]''))' || chr(10)
+               || '    CREATE NONCLUSTERED INDEX [IX_ids_x_Case_x_legacyid] ON [dbo].[ids_x_Case]([x_legacyid]);' AS statement
+        FROM ranked WHERE copy = 1 GROUP BY org_key""",
+    "truncate_script": _reset("TRUNCATE TABLE", "truncate.sql", "dbo"),
+    "teardown_script": _reset("DROP TABLE IF EXISTS", "teardown.sql", "mig"),
+    "diagram_script": f"""WITH {BATCHES},
+        shown AS (
+          SELECT b.*, s.display FROM batches b
+          JOIN {values([(n, d or n) for n, d, _ in fleet.CRM_TABLES], 'name, display').replace(' AS v(', ' AS s(')}
+            ON b."table" = s.name),
+        lines AS (
+          SELECT DISTINCT org_key, 0 AS block, 0 AS tier, 0 AS step, 0 AS order_no, '' AS name, 'flowchart TD' AS line
+          FROM shown
+          UNION ALL
+          SELECT DISTINCT org_key, 1, tier, 1, 0, '', '    subgraph tier' || tier || '["Tier ' || tier || '"]' FROM shown
+          UNION ALL
+          SELECT org_key, 1, tier, 2, order_no, '',
+                 '        ' || "table" || '["' || display || '<br/><small>' || "table" || '</small>"]' FROM shown
+          UNION ALL
+          SELECT DISTINCT org_key, 1, tier, 3, 0, '', '    end' FROM shown
+          UNION ALL
+          SELECT e.org_key, 2, 0, 0, s.order_no, upper(e.dst),
+                 '    ' || e.src || CASE WHEN d.src IS NULL THEN ' --> ' ELSE ' -.-> ' END || e.dst
+          FROM edges e JOIN shown s ON e.org_key = s.org_key AND e.src = s."table"
+          LEFT JOIN dropped d ON e.org_key = d.org_key AND e.src = d.src AND e.dst = d.dst)
+        SELECT org_key, 'diagram.mmd' AS file_name, CAST(row_number() OVER (
+                 PARTITION BY org_key ORDER BY block, tier, step, order_no, name) AS INTEGER) AS line_no, line FROM lines""",
     "stage_orders": """
         SELECT CAST(o_custkey AS VARCHAR) AS "O_CustKey", o_orderdate, CAST(o_orderkey AS VARCHAR) AS o_orderkey,
                o_orderpriority, o_orderstatus, CAST(NULL AS VARCHAR) AS o_remark,
@@ -462,6 +538,16 @@ ORACLE: dict[str, str] = {
                (SELECT count(*) FROM missing) AS n_missing_keys,
                (SELECT string_agg(o_custkey, ', ' ORDER BY o_custkey) FROM first) AS missing_sample
         FROM resolved""",
+    "polymorphic_load": f"""
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS owner,
+               CASE WHEN event_type IN ('purchase', 'signup') THEN 'Customer' ELSE 'supplier' END AS ownertype,
+               CASE WHEN event_type IN ('purchase', 'signup') THEN {_md5('customer', 'c_custkey')}
+                    ELSE {_md5('supplier', 's_suppkey')} END AS owner_id,
+               CASE WHEN user_id IS NULL THEN 'empty'
+                    WHEN CASE WHEN event_type IN ('purchase', 'signup') THEN c_custkey ELSE s_suppkey END IS NULL
+                    THEN 'unresolved' ELSE 'resolved' END AS owner_status,
+               {_md5('events', 'event_id')} AS target_id
+        FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN supplier ON user_id = s_suppkey""",
     "tiered_load": _loaded_lookups(),
     "deferred_update": f"""
         SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS row_key, {_md5('customer', 'c_custkey')} AS resolved_id,

@@ -21,6 +21,7 @@ from loadwright.operators.waves import row_waves
 from loadwright.options import PlanOptions
 from loadwright.plans.batches import load_batches, load_order, plan_summary
 from loadwright.plans.run import TableLoad, run_plan
+from loadwright.plans.scripts import KEY_MAP, STAGING, create_statements, diagram_lines, reset_statements
 from loadwright.sources.scratch import settle
 from loadwright.sources.snapshots import attribute_targets, flatten_snapshot, read_snapshot
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map,
@@ -72,6 +73,14 @@ def visible_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.visible_solutions(fleet.solutions(spark, sf_dir))
 
 
+def chosen_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = fleet.suppliers(spark, sf_dir).select("org_key", F.expr(
+        "element_at(array(NULL, 'ZETA', 'patch1', 'gamma', ''), CAST(key % 5 + 1 AS INT))").alias("solution"))
+    visible = scope.visible_solutions(fleet.solutions(spark, sf_dir))
+    without_default = visible.where("NOT (unique_name = 'Default' AND CAST(org_key AS INT) % 2 = 1)")
+    return scope.chosen_solutions(without_default, picks)
+
+
 def membership(spark: SparkSession, sf_dir: str) -> scope.Membership:
     return scope.solution_membership(fleet.components(spark, sf_dir), fleet.chosen_solutions(spark, sf_dir))
 
@@ -247,6 +256,38 @@ def dictionary_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary_columns(case_columns(spark, sf_dir)[0])
 
 
+def _case_scripts(spark: SparkSession, sf_dir: str, kind: str, options: PlanOptions) -> DataFrame:
+    columns, entities = case_columns(spark, sf_dir)
+    tables = entities.select("org_key", F.col("logical_name").alias("table"))
+    batches = load_batches(load_tiers(tables, dependency_edges(columns, tables)).tiers)
+    layout = lay.staging_layout(columns) if kind == STAGING else lay.key_map_layout(columns, entities)
+    return create_statements(layout.columns, entities, batches, kind, options)
+
+
+def staging_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case_scripts(spark, sf_dir, STAGING, PlanOptions())
+
+
+def key_map_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case_scripts(spark, sf_dir, KEY_MAP, PlanOptions(index_match_keys=True, key_map_prefix="ids_"))
+
+
+def truncate_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reset_statements(fleet.crm_entities(spark, sf_dir), crm_batches(spark, sf_dir)[0])
+
+
+def teardown_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reset_statements(fleet.crm_entities(spark, sf_dir), crm_batches(spark, sf_dir)[0], "teardown",
+                            PlanOptions(schema_name="mig"))
+
+
+def diagram_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = crm_plan(spark, sf_dir)
+    edges = dependency_diagram_edges(crm_edges(spark, sf_dir), plan.dropped, plan.tiers)
+    batches, _ = settle(load_batches(plan.tiers, BATCH_SIZE))
+    return diagram_lines(fleet.crm_entities(spark, sf_dir), batches, settle(edges)[0])
+
+
 # ---------------------------------------------------------------- data
 
 def target_id(table: str, key: str):
@@ -391,6 +432,22 @@ def resolve_event_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_polymorphic(staged, "owner", maps)
 
 
+def polymorphic_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, whose owner is a customer or a supplier, loaded after both."""
+    edges = ("nation region", "customer nation", "supplier nation", "events customer", "events supplier")
+    plan = _one_plan(spark, edges, ("region", "nation", "customer", "supplier", "events"))
+    events = read(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("owner"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "Customer").otherwise("supplier").alias("ownertype"))
+    loads = {table: _table_load(spark, sf_dir, table) for table in ("region", "nation", "customer", "supplier")}
+    loads["events"] = TableLoad(
+        events, _columns(["event_id", "owner", "ownertype"]), "event_id",
+        lambda rows: rows.withColumn("target_id", target_id("events", "event_id")),
+        polymorphic={"owner": ["customer", "supplier"]})
+    done = run_plan(spark, plan.tiers, plan.dropped, loads, fleet.new_database(spark))
+    return done.loaded["events"].select("event_id", "owner", "ownertype", "owner_id", "owner_status", "target_id")
+
+
 # Staged columns of the given tables; the key comes first.
 LOADS = {
     "region": (["r_regionkey", "r_name"], {}),
@@ -413,9 +470,8 @@ def _table_load(spark: SparkSession, sf_dir: str, table: str) -> TableLoad:
                      lambda rows: rows.withColumn("target_id", target_id(table, names[0])), lookups)
 
 
-def _one_plan(spark: SparkSession, edges: tuple[str, ...]) -> LoadTiers:
-    tables = spark.sql("SELECT 'here' AS org_key, explode(array(" + ", ".join(map(fleet.literal, TPCH_TABLES))
-                       + ")) AS table")
+def _one_plan(spark: SparkSession, edges: tuple[str, ...], names: tuple[str, ...] = TPCH_TABLES) -> LoadTiers:
+    tables = spark.sql(f"SELECT 'here' AS org_key, explode(array({', '.join(map(fleet.literal, names))})) AS table")
     pairs = ", ".join(f"struct({fleet.literal(s)} AS src, {fleet.literal(d)} AS dst)"
                       for s, d in (e.split() for e in edges))
     return load_tiers(tables, spark.sql(f"SELECT 'here' AS org_key, inline(array({pairs}))"))
@@ -554,6 +610,7 @@ QUERIES: dict[str, Query] = {
     "table_categories": table_categories,
     "category_counts": category_counts,
     "visible_solutions": visible_solutions,
+    "chosen_solutions": chosen_solutions,
     "solution_membership": solution_membership,
     "find_tables": find_tables,
     "find_checked_tables": find_checked_tables,
@@ -581,6 +638,11 @@ QUERIES: dict[str, Query] = {
     "load_order": load_order_query,
     "diagram_edges": diagram_edges,
     "plan_summary": plan_summary_query,
+    "staging_scripts": staging_scripts,
+    "key_map_scripts": key_map_scripts,
+    "truncate_script": truncate_script,
+    "teardown_script": teardown_script,
+    "diagram_script": diagram_script,
     "stage_orders": stage_orders,
     "stage_rejects": stage_rejects,
     "stage_clean": stage_clean,
@@ -595,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "resolve_event_owner": resolve_event_owner,
     "unresolved_report": unresolved_report_query,
     "tiered_load": tiered_load,
+    "polymorphic_load": polymorphic_load,
     "deferred_update": deferred_update_query,
     "deferred_update_keeps_ids": deferred_update_keeps_ids,
     "reset_keeps_key_maps": reset_keeps_key_maps,
