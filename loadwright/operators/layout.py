@@ -102,9 +102,12 @@ def column_comment() -> Column:
 
 
 def _first_of_each_name(blocks: DataFrame, extra: list[str]) -> Layout:
-    """Number the columns of each table; a repeated name keeps its first place."""
+    """Number the columns of each table; a repeated name keeps its first place.
+
+    One shuffle by table serves both windows.
+    """
     place = [F.col("block"), order_key("name"), F.desc("is_type_companion"), F.col("name")]
-    marked = blocks.withColumn(
+    marked = blocks.repartition(*_TABLE).withColumn(
         "_copy", F.row_number().over(Window.partitionBy(*_TABLE, order_key("name")).orderBy(*place)))
     kept = marked.where(F.col("_copy") == 1).withColumn(
         "ordinal", F.row_number().over(Window.partitionBy(*_TABLE).orderBy(*place)))
@@ -116,13 +119,12 @@ def _first_of_each_name(blocks: DataFrame, extra: list[str]) -> Layout:
 def staging_layout(columns: DataFrame, tables: DataFrame | None = None) -> Layout:
     """Staging columns by name, then the fixed columns; 1-based ordinals.
 
-    ``tables`` (org_key, table) adds tables of which no attribute is kept.
+    ``tables`` (org_key, table) lists the tables; without it they are read off the columns,
+    which takes those a second time and misses a table of which no attribute is kept.
     """
     own = columns.select(*_TABLE, "name", "sql_type", "is_type_companion",
                          column_comment().alias("comment"), F.lit(1).alias("block"))
-    owners = columns.select(*_TABLE)
-    if tables is not None:
-        owners = owners.unionByName(tables.select(*_TABLE))
+    owners = (columns if tables is None else tables).select(*_TABLE)
     fixed = F.array(*(
         F.struct(F.lit(name).alias("name"), F.lit(kind).alias("sql_type"), F.lit(False).alias("is_type_companion"),
                  F.lit(None).cast("string").alias("comment"), F.lit(2 + i).alias("block"))

@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwright.operators.resolve import EMPTY, RESOLVED, UNRESOLVED
+from loadwright.sources.scratch import cut
 
 
 def unresolved_report(resolved: DataFrame, table: str, lookups: Sequence[str], sample: int = 5) -> DataFrame:
     """Per lookup: rows by status, distinct missing keys, and the first few of them.
 
-    Rows are combined per key before anything is grouped by lookup, and only ``sample``
-    keys per task are ranked.
+    Rows are combined per key before anything is grouped by lookup; the result of that is
+    written once and read for the counts and the samples.  Only ``sample`` keys per task
+    are ranked.
     """
     entries = F.array(*(
         F.struct(F.lit(name).alias("lookup"), F.col(f"{name}_status").alias("status"),
                  F.when(F.col(f"{name}_status") == UNRESOLVED, F.col(name).cast("string")).alias("missing"))
         for name in lookups))
-    per_key = resolved.select(F.inline(entries)).groupBy("lookup", "status", "missing").agg(
-        F.count(F.lit(1)).alias("n"))
+    per_key, _ = cut(resolved.select(F.inline(entries)).groupBy("lookup", "status", "missing").agg(
+        F.count(F.lit(1)).alias("n")), "unresolved")
 
     def rows(status: str):
         return F.sum(F.when(F.col("status") == status, F.col("n")).otherwise(0))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -76,26 +78,24 @@ def split_rejects(source: DataFrame, columns: Sequence[StagedColumn], key_column
     (``type`` or ``length``) and the value as text.
     """
     scales = scales or {}
-    checks = []
+    misfits, found = [], []
     for column in columns:
         name = _source_name(source, column.name)
-        if name is None:
-            continue
         target = spark_type(column.sql_type)
-        limit = text_limit(column.sql_type)
+        if name is None or target == "STRING":
+            continue
         text = _as_text(source, name, scales)
+        limit = text_limit(column.sql_type)
         if limit:
             bad, reason = F.char_length(text) > limit, "length"
-        elif target == "STRING":
-            continue
         else:
             bad, reason = F.col(name).isNotNull() & F.col(name).try_cast(target).isNull(), "type"
-        checks.append(F.when(bad, F.struct(F.lit(column.name).alias("column"), F.lit(reason).alias("reason"),
-                                           text.alias("value"))))
-    if not checks:
-        none = "struct<column: string, reason: string, value: string>"
-        checks = [F.lit(None).cast(none)]
-    checked = source.withColumn("_bad", F.filter(F.array(*checks), lambda c: c.isNotNull()))
-    clean = stage_rows(checked.where(F.size("_bad") == 0), columns, scales)
-    rejects = checked.select(*key_columns, F.inline("_bad"))
+        bad = F.coalesce(bad, F.lit(False))
+        misfits.append(bad)
+        found.append(F.struct(F.lit(column.name).alias("column"), F.when(bad, reason).alias("reason"), text.alias("value")))
+    any_misfit = reduce(or_, misfits, F.lit(False))
+    clean = stage_rows(source.where(~any_misfit), columns, scales)
+    none = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("column", "reason", "value")))
+    rejects = source.where(any_misfit).select(*key_columns, F.inline(F.array(*(found or [none])))).where(
+        F.col("reason").isNotNull())
     return Split(clean, rejects)

@@ -94,7 +94,10 @@ def test_staging_order(columns):
 
 def test_table_without_columns_has_the_fixed_ones(spark, columns):
     tables = spark.createDataFrame([("o", "empty")], "org_key string, table string")
-    assert ordered(lay.staging_layout(columns, tables).columns.where("table = 'empty'")) == [
+    everything = tables.union(columns.select("org_key", "table"))
+    assert ordered(lay.staging_layout(columns, everything).columns.where("table = 'x_case'"))[:3] == [
+        "customerid", "customeridtype", "x_at"]
+    assert ordered(lay.staging_layout(columns, everything).columns.where("table = 'empty'")) == [
         "overriddencreatedon", "ownerid", "owneridtype", "statecode"]
 
 

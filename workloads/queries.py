@@ -148,7 +148,12 @@ def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staging_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lay.staging_layout(case_columns(spark, sf_dir)[0]).columns
+    columns, entities = case_columns(spark, sf_dir)
+    return lay.staging_layout(columns, _tables(entities)).columns
+
+
+def _tables(entities: DataFrame) -> DataFrame:
+    return entities.select("org_key", F.col("logical_name").alias("table"))
 
 
 def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +252,7 @@ def dictionary_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_tables_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = case_catalog(spark, sf_dir).entities
-    tables = entities.select("org_key", F.col("logical_name").alias("table"))
+    tables = _tables(entities)
     edges = dependency_edges(case_columns(spark, sf_dir)[0], tables)
     return dictionary_tables(entities, load_tiers(tables, edges).tiers)
 
@@ -258,9 +263,9 @@ def dictionary_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _case_scripts(spark: SparkSession, sf_dir: str, kind: str, options: PlanOptions) -> DataFrame:
     columns, entities = case_columns(spark, sf_dir)
-    tables = entities.select("org_key", F.col("logical_name").alias("table"))
+    tables = _tables(entities)
     batches = load_batches(load_tiers(tables, dependency_edges(columns, tables)).tiers)
-    layout = lay.staging_layout(columns) if kind == STAGING else lay.key_map_layout(columns, entities)
+    layout = lay.staging_layout(columns, tables) if kind == STAGING else lay.key_map_layout(columns, entities)
     return create_statements(layout.columns, entities, batches, kind, options)
 
 
