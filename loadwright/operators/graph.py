@@ -49,14 +49,15 @@ def _inside(edges: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
 def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     """Tier of every table: the longest chain of kept dependencies below it.
 
-    All environments advance together, one round per wave.  Where an environment has
-    tables left but none is free, the table most others wait for (then the one with the
-    fewest unmet dependencies, then the first by name) gives up its unmet dependencies;
-    these edges are returned as dropped.  Rounds are those of the worst environment.
+    All environments advance together, one round per wave.  A wave is every table without
+    unmet dependencies.  Where an environment has none such, it is the hub alone: the
+    table most others wait for (then the one with the fewest unmet dependencies, then the
+    first by name), which gives up its unmet dependencies; these edges are returned as
+    dropped.  Rounds are those of the worst environment.
 
-    The frontier is two checkpointed tables.  A round tags the open edges (target loaded, given
-    up, or still open), then rebuilds the nodes from them with one aggregation, which
-    combines map-side however many edges point at one table.
+    The frontier is two checkpointed tables.  A round tags the open edges (target placed,
+    given up, or still open), then rebuilds the nodes from them with one aggregation,
+    which combines map-side however many edges point at one table.
 
     Fails on two tables of one environment whose names differ only in case.
     """
@@ -72,60 +73,68 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
         edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst"))
         .where(F.col("src") != F.col("dst")).distinct(),
         members, found["rows"])
-    tagged, _ = settle(in_scope.withColumns({"target_tier": F.lit(None).cast("int"), "given_up": F.lit(False)}))
+    tagged, _ = settle(in_scope.withColumns({name: F.lit(None).cast("int") for name in ("target_tier", "hub_tier")}))
     n_orgs = members.select("org_key").distinct().count()
     nodes, seen = _rebuild(members.withColumn("unmet", F.lit(1).cast("long")), tagged)
-    waves, given_up = [], []
+    waves, dropped = [], []
     round_no = 0
     while seen["rows"]:
-        waves.append(nodes.where("unmet = 0"))
+        waves.append(nodes.where("unmet = 0").select("org_key", "t", "tier"))
         if seen["rows"] == seen["ready"]:
             break
         round_no += 1
-        tagged = _tag(tagged, nodes, seen["ready"], n_orgs)
-        given_up.append(tagged.where("given_up").selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
+        tagged, n_given_up = _tag(tagged, nodes, seen["ready"], n_orgs)
+        if n_given_up:
+            given_up = tagged.where("hub_tier IS NOT NULL")
+            dropped.append(given_up.selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
+            waves.append(given_up.selectExpr("org_key", "src AS t", "hub_tier AS tier").distinct())
         nodes, seen = _rebuild(nodes, tagged)
     nothing = in_scope.select("org_key", "src", "dst", F.lit(0).alias("round")).where("false")
-    tiers, _ = settle(reduce(DataFrame.union, waves, nodes.where("false")).selectExpr("org_key", "t AS table", "tier"))
-    dropped, _ = settle(reduce(DataFrame.union, given_up, nothing))
-    return LoadTiers(tiers, dropped)
+    none = members.where("false").select("org_key", "t", "tier")
+    tiers, _ = settle(reduce(DataFrame.union, waves, none).selectExpr("org_key", "t AS table", "tier"))
+    return LoadTiers(tiers, settle(reduce(DataFrame.union, dropped))[0] if dropped else nothing)
 
 
-def _tag(edges: DataFrame, nodes: DataFrame, n_ready: int, n_orgs: int) -> DataFrame:
-    """Open edges after this round: tier of a target that is free now, or given up."""
-    still_open = edges.where(_OPEN).select("org_key", "src", "dst")
-    if n_ready:
-        ready = nodes.where("unmet = 0").selectExpr("org_key", "t AS dst", "tier AS target_tier")
-        marked = lookup_join(still_open, ready, ["org_key", "dst"], right_rows=n_ready)
-    else:
-        marked = still_open.selectExpr("*", "CAST(NULL AS INT) AS target_tier")
-    if n_ready and n_orgs == 1:  # the only environment is not stuck
-        marked = marked.selectExpr("*", "false AS hit")
-    else:
-        hubs = nodes.groupBy("org_key").agg(
-            F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t)).t AS src"),
-        ).where("least > 0").selectExpr("org_key", "src", "true AS hit")
-        marked = lookup_join(marked, hubs, ["org_key", "src"], right_rows=n_orgs)
-    tagged, _ = settle(marked.selectExpr(
-        "org_key", "src", "dst", "target_tier", "coalesce(hit, false) AS given_up"))
-    return tagged
+_OPEN = "target_tier IS NULL AND hub_tier IS NULL"
 
 
-_OPEN = "target_tier IS NULL AND NOT given_up"
+def _tag(edges: DataFrame, nodes: DataFrame, n_ready: int, n_orgs: int) -> tuple[DataFrame, int]:
+    """Open edges after this round: tier of a target placed now, tier of a source that gives up."""
+    placed = nodes.where("unmet = 0").select("org_key", "t", "tier")
+    hubs = nodes.groupBy("org_key").agg(
+        F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t, tier)) AS hub"),
+    ).where("least > 0").selectExpr("org_key", "hub.t", "hub.tier")
+    stuck = n_orgs > 1 or not n_ready  # one environment with a free table is not
+    if stuck:
+        placed = placed.union(hubs)
+    still_open = edges.where(_OPEN).select("org_key", "src", "dst")
+    marked = lookup_join(still_open, placed.toDF("org_key", "dst", "target_tier"), ["org_key", "dst"],
+                         right_rows=n_ready + n_orgs)
+    if stuck:
+        marked = lookup_join(marked, hubs.toDF("org_key", "src", "hub_tier"), ["org_key", "src"], right_rows=n_orgs)
+    else:
+        marked = marked.selectExpr("*", "CAST(NULL AS INT) AS hub_tier")
+    tagged, seen = settle(marked.select("org_key", "src", "dst", "target_tier", "hub_tier"),
+                          given_up=F.count("hub_tier"))
+    return tagged, seen["given_up"]
 
 
 def _rebuild(nodes: DataFrame, tagged: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """Tables still waiting: tier so far, open dependencies, open dependents."""
     waiting = nodes.where("unmet > 0").selectExpr(
-        "org_key", "t", "tier", "true AS waiting", "0 AS unmet", "0 AS dependents")
-    from_edges = tagged.where("NOT given_up").selectExpr("org_key", """inline(
-        CASE WHEN target_tier IS NULL
-             THEN array(struct(src AS t, 0 AS tier, false AS waiting, 1 AS unmet, 0 AS dependents),
-                        struct(dst AS t, 0 AS tier, false AS waiting, 0 AS unmet, 1 AS dependents))
-             ELSE array(struct(src AS t, target_tier + 1 AS tier, false AS waiting, 0 AS unmet, 0 AS dependents))
+        "org_key", "t", "tier", "true AS waiting", "false AS gone", "0 AS unmet", "0 AS dependents")
+    from_edges = tagged.selectExpr("org_key", """inline(
+        CASE WHEN hub_tier IS NOT NULL
+             THEN array(struct(src AS t, 0 AS tier, false AS waiting, true AS gone, 0 AS unmet, 0 AS dependents))
+             WHEN target_tier IS NOT NULL
+             THEN array(struct(src AS t, target_tier + 1 AS tier, false AS waiting, false AS gone, 0 AS unmet,
+                               0 AS dependents))
+             ELSE array(struct(src AS t, 0 AS tier, false AS waiting, false AS gone, 1 AS unmet, 0 AS dependents),
+                        struct(dst AS t, 0 AS tier, false AS waiting, false AS gone, 0 AS unmet, 1 AS dependents))
         END)""")
     rebuilt = waiting.union(from_edges).groupBy("org_key", "t").agg(*map(F.expr, (
-        "max(tier) AS tier", "bool_or(waiting) AS waiting", "sum(unmet) AS unmet", "sum(dependents) AS dependents",
+        "max(tier) AS tier", "bool_or(waiting) AND NOT bool_or(gone) AS waiting", "sum(unmet) AS unmet",
+        "sum(dependents) AS dependents",
     ))).where("waiting").drop("waiting")
     return settle(rebuilt, ready=F.expr("count_if(unmet = 0)"))
 

@@ -123,15 +123,3 @@ def diagram_lines(entities: DataFrame, batches: DataFrame, diagram_edges: DataFr
                            order=F.col("order_no"), name=order_key("dst"))))
     numbered = number_rows(everything, ["org_key"], ["block", "tier", "step", "order_no", "name"], "line_no")
     return numbered.select("org_key", F.lit("diagram.mmd").alias("file_name"), "line_no", "line")
-
-
-def write_scripts(rows: DataFrame, path: str, text: str, *order: str) -> None:
-    """Write text rows as files under ``org_key=…/file_name=…``, in the given order.
-
-    Ranges, not hashes, place the rows: a large environment is spread over several part
-    files, whose names sort in the order of their lines.
-    """
-    place = ["org_key", "file_name", *order]
-    (rows.repartitionByRange(*place).sortWithinPartitions(*place)
-     .select("org_key", "file_name", F.col(text).alias("value"))
-     .write.partitionBy("org_key", "file_name").text(path))

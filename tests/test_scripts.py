@@ -3,7 +3,8 @@
 from loadwright.operators.graph import dependency_diagram_edges, load_tiers
 from loadwright.options import PlanOptions
 from loadwright.plans.batches import load_batches
-from loadwright.plans.scripts import KEY_MAP, create_statements, diagram_lines, reset_statements, write_scripts
+from loadwright.plans.scripts import KEY_MAP, create_statements, diagram_lines, reset_statements
+from loadwright.sources.exports import export_rows, export_scripts
 
 
 def small_plan(spark):
@@ -49,6 +50,15 @@ def test_diagram_and_its_file(spark, tmp_path):
         "flowchart TD", '    subgraph tier0["Tier 0"]', "        a[\"The 'A' (x)<br/><small>a</small>\"]", "    end",
         '    subgraph tier1["Tier 1"]', '        b["b<br/><small>b</small>"]', "    end", "    a -.-> b", "    b --> a"]
     assert [r["line"] for r in lines.orderBy("line_no").collect()] == want
-    write_scripts(lines, str(tmp_path / "out"), "line", "line_no")
+    export_scripts(lines, str(tmp_path / "out"), "line", "line_no")
     parts = sorted((tmp_path / "out" / "org_key=o" / "file_name=diagram.mmd").glob("part-*"))
     assert "".join(p.read_text() for p in parts).splitlines() == want
+
+
+def test_rows_by_environment(spark, tmp_path):
+    rows = spark.createDataFrame([("o", 2, "b"), ("o", 1, "a"), ("p", 1, "c")], "org_key string, position int, name string")
+    for format in ("csv", "parquet"):
+        path = str(tmp_path / format)
+        export_rows(rows, path, "position", format=format)
+        back = spark.read.schema(rows.schema).option("header", True).format(format).load(path)
+        assert sorted(map(tuple, back.select(*rows.columns).collect())) == [("o", 1, "a"), ("o", 2, "b"), ("p", 1, "c")]
