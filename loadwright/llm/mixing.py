@@ -12,6 +12,9 @@ from loadwright.llm.common import running_sums, word_count, written
 # Source weights by rank of the source, repeating; the mix in parts of all words; the most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
+# Offsets tried for each source.
+PHASES = 32
+
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
                    most: float = MOST) -> DataFrame:
@@ -50,7 +53,8 @@ def plan_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
 
     Rows of a source stand in order of size, then id, then hash; each expects target / source_size copies.
     Their running sum starts at one random offset for the source, and a row is taken once for each integer that
-    its own share crosses.  Order by size keeps the words taken within about one text of the target.
+    its own share crosses.  Of ``PHASES`` offsets, spread evenly from a random one, the source has that which
+    brings its words nearest to the target.
     Null texts have size 0; null sources are one source.
     """
     slim = written(_keyed(docs).select("doc_id", "source", word_count(docs["text"]).alias("size"), "_key"), "mixing-sizes")
@@ -62,11 +66,21 @@ def plan_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     known = targets.join(starts.withColumnRenamed("source", "_named"), F.col("source").eqNullSafe(F.col("_named"))).select(
         F.col("source").alias("_source"), "source_size", "target", "_start",
         (F.col("target") / F.greatest("source_size", F.lit(1))).alias("_rate"), offset(F.col("source"), seed).alias("_offset"))
-    met = placed.join(known, F.col("source").eqNullSafe(F.col("_source")))
+    same = F.col("source").eqNullSafe(F.col("_source"))
     rank = F.col("_before") - F.col("_start")
-    at = lambda n: F.floor(F.col("_offset") + n * F.col("_rate"))
-    return met.select("doc_id", "source", "_key", "size", "source_size", "target",
-                      (at(rank + 1) - at(rank)).cast("int").alias("copies"))
+
+    def copies(phase: Column) -> Column:
+        at = lambda n: F.floor(F.col("_offset") + phase / F.lit(float(PHASES)) + n * F.col("_rate"))
+        return (at(rank + 1) - at(rank)).cast("int")
+
+    tried = placed.join(known, same).groupBy("_source", "target").agg(
+        *(F.sum(copies(F.lit(float(k))) * F.col("size")).alias(f"_taken_{k}") for k in range(PHASES)))
+    misses = F.array(*(F.struct(F.abs(F.col(f"_taken_{k}") - F.col("target")), F.lit(float(k)).alias("phase"))
+                       for k in range(PHASES)))
+    phases = tried.select(F.col("_source").alias("_tried"), F.array_min(misses)["phase"].alias("_phase"))
+    chosen = known.join(phases, F.col("_source").eqNullSafe(F.col("_tried")))
+    return placed.join(chosen, same).select(
+        "doc_id", "source", "_key", "size", "source_size", "target", copies(F.col("_phase")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
