@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -17,7 +19,7 @@ from loadwright.llm.common import needed, running_sums, written
 LENGTH, END = 1024, 0
 
 # Words whose ids are remembered by one Python worker at a time, and characters that are split at a time.
-_CACHED, _STRETCH = 300_000, 1 << 20
+_CACHED, _STRETCH = 1_000_000, 1 << 20
 _SPACED = re.compile(r"\s ")
 _BOUNDARY = re.compile(r"(?<=\S) ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -48,7 +50,7 @@ class Tokens:
             self.known.clear()
         missing = list(set(parts).difference(self.known))
         for part, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
+            self.known[part] = pack_ids("<%dI" % len(found.ids), *found.ids)
 
     def encode(self, text: str) -> bytes:
         found, at = [], 0
@@ -69,6 +71,12 @@ class Tokens:
         return b"".join(found)
 
 
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    """One for a Python worker, so that its tasks share what it remembers."""
+    return Tokens(path)
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END,
                  ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens for each piece of at most ``length`` ids; on demand the ids.
@@ -82,7 +90,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, last = Tokens(path), np.array([end], "<u4").tobytes()
+        tokens, last = _tokens(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].array, batch["text"]):
