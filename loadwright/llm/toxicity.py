@@ -16,10 +16,10 @@ from loadwright.llm.common import needed, written
 
 # At most this many labelled documents are learned from: those whose ids have the smallest hashes.
 SAMPLE = 20_000
-EPOCHS = 3
+EPOCHS = 4
 BITS = 20
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.0
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHED = 300_000
