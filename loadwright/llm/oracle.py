@@ -1,3 +1,59 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+# Fixed values of the contract, written out again here.
+_RULES = ("(VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), "
+          "('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(action, domain, start)")
+
+URLS = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+split AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM parts),
+best AS (
+  SELECT page_id, host, path, max({{'n': length(domain || start), 'rule': domain || start, 'action': action}}) AS b
+  FROM split JOIN {_RULES} ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
+  GROUP BY ALL)
+SELECT s.page_id, s.host, s.path, b.rule AS "rule",
+       coalesce(b.action, CASE WHEN regexp_matches(s.host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)')
+                               THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN best USING (page_id)"""
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, source_size * 2::DOUBLE AS most,
+         CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3
+              WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS weight
+  FROM s),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER earlier, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+  FROM w
+  WINDOW earlier AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least(most, max(level) OVER () * weight) AS target,
+         ('0x' || substr(sha256('mix' || coalesce('s' || source, 'n')), 1, 8))::BIGINT / 4294967296::DOUBLE AS start
+  FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, t.start,
+         t.target / greatest(t.source_size, 1) AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS n
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+tried AS (
+  SELECT *, CAST(floor(start + phase / 32::DOUBLE + (n + 1) * rate) - floor(start + phase / 32::DOUBLE + n * rate) AS BIGINT)
+            * size AS taken
+  FROM placed, range(32) AS p(phase)),
+misses AS (SELECT source, phase, abs(sum(taken) - any_value(target)) AS miss FROM tried GROUP BY source, phase),
+chosen AS (SELECT source, arg_min(phase, {'miss': miss, 'phase': phase}) AS phase FROM misses GROUP BY source)
+SELECT doc_id, size, source_size, target, taken
+FROM tried t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.phase = c.phase"""
+
+ORACLE: dict[str, str] = {"op5_urls": URLS, "op6_mixing": MIXING}
