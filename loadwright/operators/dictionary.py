@@ -24,9 +24,9 @@ def dictionary_index(entities: DataFrame, batches: DataFrame, dropped: DataFrame
         .withColumn("dropped_dependencies", F.coalesce("dropped_dependencies", F.lit("")))
         .withColumn("_name", order_key("display_name"))
     )
-    numbered = number_rows(rows, ["org_key"], ["_name", "order_no"], "position")
+    numbered = number_rows(rows, ["org_key"], ["_name", "order_no"], "position", bounded=True)
     return numbered.select(
-        "org_key", "position", "display_name", "logical_name", "schema_name", "tier",
+        "org_key", F.col("position").cast("int").alias("position"), "display_name", "logical_name", "schema_name", "tier",
         F.format_string("%02d", "file_no").alias("file"), "dropped_dependencies")
 
 

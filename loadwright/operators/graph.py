@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadwright.functions.lists import excluded_columns
 from loadwright.functions.names import fold, joined_names
 from loadwright.operators.skew import lookup_join
-from loadwright.sources.scratch import settle
+from loadwright.sources.scratch import cut
 
 
 class LoadTiers(NamedTuple):
@@ -36,28 +37,26 @@ def dependency_edges(columns: DataFrame, selection: DataFrame, exclusions: str |
         .where(F.col("src") != F.col("dst")).distinct()
     )
     members = selection.select("org_key", fold("table").alias("t")).distinct()
-    return _inside(pairs, members, members.count())
+    return _inside(pairs, members)
 
 
-def _inside(edges: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
+def _inside(edges: DataFrame, members: DataFrame) -> DataFrame:
     for end in ("dst", "src"):
         tables = members.select("org_key", F.col("t").alias(end))
-        edges = lookup_join(edges, tables, ["org_key", end], "left_semi", right_rows=n_members)
+        edges = edges.join(tables, ["org_key", end], "left_semi")
     return edges.select("org_key", "src", "dst")
 
 
 def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     """Tier of every table: the longest chain of kept dependencies below it.
 
-    All environments advance together, one round per wave.  A wave is every table without
-    unmet dependencies.  Where an environment has none such, it is the hub alone: the
-    table most others wait for (then the one with the fewest unmet dependencies, then the
-    first by name), which gives up its unmet dependencies; these edges are returned as
-    dropped.  Rounds are those of the worst environment.
+    A wave is every table without unmet dependencies.  Where there is none such, it is the hub
+    alone: the table most others wait for (then the one with the fewest unmet dependencies, then
+    the first by name), which gives up its unmet dependencies; these edges are returned as dropped,
+    with the number of the wave.
 
-    The frontier is two checkpointed tables.  A round tags the open edges (target placed,
-    given up, or still open), then rebuilds the nodes from them with one aggregation,
-    which combines map-side however many edges point at one table.
+    Environments do not depend on each other, and the catalog of one is bounded, so each comes
+    together as one row and is ordered in one go, all of them in one job.
 
     Fails on two tables of one environment whose names differ only in case.
     """
@@ -65,78 +64,59 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     same = F.concat_ws(" ", F.lit("table listed twice:"), "org_key", "t")
     members = (
         tables.groupBy("org_key", fold("table").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("tier", F.when(F.col("_n") > 1, F.raise_error(same).cast("int")).otherwise(F.lit(0)))
-        .select(*key, "tier")
+        .withColumn("t", F.when(F.col("_n") > 1, F.raise_error(same)).otherwise(F.col("t"))).select(*key)
     )
-    members, found = settle(members)
-    in_scope = _inside(
-        edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst"))
-        .where(F.col("src") != F.col("dst")).distinct(),
-        members, found["rows"])
-    tagged, _ = settle(in_scope.withColumns({name: F.lit(None).cast("int") for name in ("target_tier", "hub_tier")}))
-    n_orgs = members.select("org_key").distinct().count()
-    nodes, seen = _rebuild(members.withColumn("unmet", F.lit(1).cast("long")), tagged)
-    waves, dropped = [], []
-    round_no = 0
-    while seen["rows"]:
-        waves.append(nodes.where("unmet = 0").select("org_key", "t", "tier"))
-        if seen["rows"] == seen["ready"]:
-            break
-        round_no += 1
-        tagged, n_given_up = _tag(tagged, nodes, seen["ready"], n_orgs)
-        if n_given_up:
-            given_up = tagged.where("hub_tier IS NOT NULL")
-            dropped.append(given_up.selectExpr("org_key", "src", "dst", f"{round_no} AS round"))
-            waves.append(given_up.selectExpr("org_key", "src AS t", "hub_tier AS tier").distinct())
-        nodes, seen = _rebuild(nodes, tagged)
-    nothing = in_scope.select("org_key", "src", "dst", F.lit(0).alias("round")).where("false")
-    none = members.where("false").select("org_key", "t", "tier")
-    tiers, _ = settle(reduce(DataFrame.union, waves, none).selectExpr("org_key", "t AS table", "tier"))
-    return LoadTiers(tiers, settle(reduce(DataFrame.union, dropped))[0] if dropped else nothing)
-
-
-_OPEN = "target_tier IS NULL AND hub_tier IS NULL"
-
-
-def _tag(edges: DataFrame, nodes: DataFrame, n_ready: int, n_orgs: int) -> tuple[DataFrame, int]:
-    """Open edges after this round: tier of a target placed now, tier of a source that gives up."""
-    placed = nodes.where("unmet = 0").select("org_key", "t", "tier")
-    hubs = nodes.groupBy("org_key").agg(
-        F.expr("min(unmet) AS least"), F.expr("min(struct(-dependents, unmet, upper(t), t, tier)) AS hub"),
-    ).where("least > 0").selectExpr("org_key", "hub.t", "hub.tier")
-    stuck = n_orgs > 1 or not n_ready  # one environment with a free table is not
-    if stuck:
-        placed = placed.union(hubs)
-    still_open = edges.where(_OPEN).select("org_key", "src", "dst")
-    marked = lookup_join(still_open, placed.toDF("org_key", "dst", "target_tier"), ["org_key", "dst"],
-                         right_rows=n_ready + n_orgs)
-    if stuck:
-        marked = lookup_join(marked, hubs.toDF("org_key", "src", "hub_tier"), ["org_key", "src"], right_rows=n_orgs)
-    else:
-        marked = marked.selectExpr("*", "CAST(NULL AS INT) AS hub_tier")
-    tagged, seen = settle(marked.select("org_key", "src", "dst", "target_tier", "hub_tier"),
-                          given_up=F.count("hub_tier"))
-    return tagged, seen["given_up"]
-
-
-def _rebuild(nodes: DataFrame, tagged: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """Tables still waiting: tier so far, open dependencies, open dependents."""
-    waiting = nodes.where("unmet > 0").selectExpr(
-        "org_key", "t", "tier", "true AS waiting", "false AS gone", "0 AS unmet", "0 AS dependents")
-    from_edges = tagged.selectExpr("org_key", """inline(
-        CASE WHEN hub_tier IS NOT NULL
-             THEN array(struct(src AS t, 0 AS tier, false AS waiting, true AS gone, 0 AS unmet, 0 AS dependents))
-             WHEN target_tier IS NOT NULL
-             THEN array(struct(src AS t, target_tier + 1 AS tier, false AS waiting, false AS gone, 0 AS unmet,
-                               0 AS dependents))
-             ELSE array(struct(src AS t, 0 AS tier, false AS waiting, false AS gone, 1 AS unmet, 0 AS dependents),
-                        struct(dst AS t, 0 AS tier, false AS waiting, false AS gone, 0 AS unmet, 1 AS dependents))
-        END)""")
-    rebuilt = waiting.union(from_edges).groupBy("org_key", "t").agg(*map(F.expr, (
-        "max(tier) AS tier", "bool_or(waiting) AND NOT bool_or(gone) AS waiting", "sum(unmet) AS unmet",
-        "sum(dependents) AS dependents",
-    ))).where("waiting").drop("waiting")
-    return settle(rebuilt, ready=F.expr("count_if(unmet = 0)"))
+    pairs = edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst")).where("src <> dst").distinct()
+    # ends outside the environment's tables are left out where it is ordered
+    waiting = pairs.groupBy("org_key").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    catalogs = members.groupBy("org_key").agg(F.collect_list("t").alias("tables")).join(waiting, "org_key", "left")
+    ordered, _ = cut(catalogs.mapInPandas(_order, "org_key string, t string, tier int, given_up array<string>, wave int"),
+                     "load-tiers")
+    tiers = ordered.select("org_key", F.col("t").alias("table"), "tier")
+    dropped = ordered.select("org_key", F.col("t").alias("src"), F.explode("given_up").alias("dst"), F.col("wave").alias("round"))
+    return LoadTiers(tiers, dropped)
+
+
+def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["org_key", "t", "tier", "given_up", "wave"]
+    for batch in batches:
+        rows = []
+        for org, tables, edges in zip(batch["org_key"], batch["tables"], batch["edges"]):
+            pairs = [] if edges is None else [(e["src"], e["dst"]) for e in edges]
+            rows += [(org, *placed) for placed in order_tables(list(tables), pairs)]
+        yield pd.DataFrame(rows, columns=names)
+
+
+def order_tables(tables: Sequence[str], edges: Iterable[tuple[str, str]]) -> list[tuple[str, int, list[str], int]]:
+    """(table, tier, dependencies given up, wave) of one environment, wave by wave."""
+    unmet = {t: set() for t in tables}
+    needed_by = {t: set() for t in tables}
+    for src, dst in edges:
+        if src in unmet and dst in unmet:
+            unmet[src].add(dst)
+            needed_by[dst].add(src)
+    tier = dict.fromkeys(tables, 0)
+    placed, wave, free = [], 0, [t for t in tables if not unmet[t]]
+    while unmet:
+        wave += 1
+        hub = None
+        if not free:
+            hub = min(unmet, key=lambda t: (-len(needed_by[t]), len(unmet[t]), t.upper(), t))
+            free = [hub]
+        for t in free:
+            given_up = sorted(unmet.pop(t))
+            placed.append((t, tier[t], given_up, wave))
+            for d in given_up:
+                needed_by[d].discard(t)
+        ready = []
+        for t in free:
+            for src in needed_by[t]:
+                tier[src] = max(tier[src], tier[t] + 1)
+                unmet[src].discard(t)
+                if not unmet[src]:
+                    ready.append(src)
+        free = ready
+    return placed
 
 
 def break_cycles(tables: DataFrame, edges: DataFrame) -> DataFrame:

@@ -60,6 +60,9 @@ def build_key_map(target_rows: DataFrame, id_col: str, match_key: str, carried:
 
 
 def merge_key_map(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The existing map, unchanged, and the entries of ``new`` for keys it does not have."""
+    """The existing map, unchanged, and the entries of ``new`` for keys it does not have.
+
+    Columns that only one of the two has are null in the rows of the other.
+    """
     unseen = lookup_join(new, existing.select("legacy_key"), ["legacy_key"], "left_anti")
-    return existing.unionByName(unseen.select(*existing.columns))
+    return existing.unionByName(unseen, allowMissingColumns=True)

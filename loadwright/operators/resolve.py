@@ -57,7 +57,9 @@ def resolve_polymorphic(staged: DataFrame, lookup: str, key_maps: Mapping[str, D
                        F.col("target_id").alias("_id"))
         for table, key_map in key_maps.items()))
     key = F.col(lookup).cast("string")
-    rows = lookup_join(staged.withColumns({"_table": F.lower(kind), "_key": key}), entries, ["_table", "_key"])
+    size = sum(key_map.count() for key_map in key_maps.values())
+    rows = lookup_join(staged.withColumns({"_table": F.lower(kind), "_key": key}), entries, ["_table", "_key"],
+                       right_rows=size)
     return rows.select(*staged.columns, F.col("_id").alias(f"{lookup}_id"),
                        _status(key, F.col("_id")).alias(f"{lookup}_status"))
 

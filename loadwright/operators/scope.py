@@ -63,8 +63,8 @@ def visible_solutions(solutions: DataFrame) -> DataFrame:
         .withColumn("_others", (~same_name(unique, F.lit(UNRESTRICTED))).cast("int"))
         .withColumn("_name", order_key(friendly))
     )
-    numbered = number_rows(shown, ["org_key"], ["_others", "_name", "solution_id"], "position")
-    return numbered.select("org_key", "solution_id", "unique_name", "label", "position")
+    numbered = number_rows(shown, ["org_key"], ["_others", "_name", "solution_id"], "position", bounded=True)
+    return numbered.select("org_key", "solution_id", "unique_name", "label", F.col("position").cast("int").alias("position"))
 
 
 def chosen_solutions(visible: DataFrame, picks: DataFrame) -> DataFrame:

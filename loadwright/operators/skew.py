@@ -6,17 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadwright.sources.scratch import cut
 
-# A lookup side is broadcast up to this many rows.  Its columns are ids, names and
-# keys of at most 100 characters, so this bounds the bytes as well.
+# A lookup side of plain columns (ids, names and keys) is broadcast up to this many rows.  Sides with
+# arrays, maps or structs, whose size rows do not tell, are never broadcast from here.
 SMALL_ROWS = 200_000
 
-# At most this many keys are treated as hot.  The next frequent one holds less than a
-# thousandth of the rows, which one shuffle partition (or its AQE split) can take.
-HOT_KEYS = 1_000
-_TRACKED = 50_000
+# Keys that the sketch follows at least; it follows ten for each partition beyond that.
+_TRACKED, _MOST_TRACKED = 50_000, 1_000_000
 
 # A group of at most this many rows is numbered by a plain window.
 BIG_GROUP = 1_000_000
@@ -29,21 +28,26 @@ def _key_hash(keys: Sequence[str]) -> Column:
 def hot_hashes(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
     """For each set of key columns, the hashes of its hot keys; one pass, no shuffle of rows.
 
-    A key is hot when it alone outweighs an average shuffle partition.  Frequent-item
-    sketches are merged map-side; at most ``HOT_KEYS`` numbers come back per set.
+    A key is hot when it alone outweighs an average shuffle partition, so there are no more hot keys
+    than partitions, and as many are asked for.  Frequent-item sketches are merged map-side.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(max(_TRACKED, 10 * partitions), _MOST_TRACKED)
     sketches = [
-        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {HOT_KEYS}, {_TRACKED})").alias(f"hot_{i}")
+        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {min(partitions, tracked)}, {tracked})").alias(f"hot_{i}")
         for i, keys in enumerate(key_sets)
     ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return [
         [item["item"] for item in row[f"hot_{i}"] or [] if item["count"] * partitions > row["rows"]]
         for i in range(len(key_sets))
     ]
 
 
+def _plain(df: DataFrame) -> bool:
+    return not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", *,
                 right_rows: int | None = None, hot: list[int] | None = None,
                 small_rows: int | None = None) -> DataFrame:
@@ -52,13 +56,16 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     ``how`` is left, inner, left_semi or left_anti; ``right`` must be unique on ``on``.
     ``right_rows`` is its row count, or an upper bound, where the caller knows it.
 
-    A small right side is broadcast.  Otherwise hot keys, null keys among them, meet their
-    few right rows by broadcast and are spread over the shuffle by a hash of the whole row;
-    only the other rows are shuffled by key.  Left is read once in either case.
+    A small right side is broadcast.  Where its size is not given it is not counted here: the
+    adaptive planner broadcasts or splits by the sizes it meets.  Of a large right side hot keys,
+    null keys among them, meet their few right rows by broadcast and are spread over the shuffle by
+    a hash of the row without its maps; only the other rows are shuffled by key.
     """
     on = list(on)
+    if right_rows is None and hot is None and small_rows is None:
+        return left.join(right, on, how)
     limit = SMALL_ROWS if small_rows is None else small_rows
-    if (right.count() if right_rows is None else right_rows) <= limit:
+    if _plain(right) and (right.count() if right_rows is None else right_rows) <= limit:
         return left.join(F.broadcast(right), on, how)
     if hot is None:
         hot = hot_hashes(left, on)[0]
@@ -68,12 +75,13 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     payload = [c for c in right.columns if c not in on]
     is_hot = _key_hash(on).isin(hot)
     found = F.struct(F.lit(True).alias("_hit"), *(F.col(c) for c in payload))
-    # hashes in the list are at most HOT_KEYS, and right is unique on the key
+    # hashes in the list are no more than partitions, and right is unique on the key
     hot_right = right.where(is_hot).select(*on, found.alias("_hot"))
     cold_right = right.where(~is_hot).select(
         *(F.col(k).alias(f"_cold_{k}") for k in on), F.lit(0).alias("_right_spread"), found.alias("_cold"))
     slices = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(slices)).cast("int") + 1)
+    hashed = [F.col(f.name) for f in left.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*hashed), F.lit(slices)).cast("int") + 1)
     keyed = left.withColumn("_left_spread", F.coalesce(spread, F.lit(0)))
     met = F.col("_left_spread") == F.col("_right_spread")
     for k in on:
@@ -124,14 +132,15 @@ def _spanning(pieces: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, *,
-                big_group: int | None = None) -> DataFrame:
+                big_group: int | None = None, bounded: bool = False) -> DataFrame:
     """1-based position of each row in its group, in ascending order of ``order``.
 
     ``order`` must be unique inside a group.  Groups too big for one task are numbered
-    range by range, with the sizes of the earlier ranges added.
+    range by range, with the sizes of the earlier ranges added.  ``bounded`` says that a group fits
+    one task by what it is, such as the tables of one environment; nothing is counted then.
     """
-    if not _is_big(df, group, BIG_GROUP if big_group is None else big_group):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    if bounded or not _is_big(df, group, BIG_GROUP if big_group is None else big_group):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     rows = _ranged(df, group, order)
     pieces = rows.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +155,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     # one offset per range at most: only its first group can come from an earlier range
     return here.join(F.broadcast(offsets), same, "left").select(
-        *df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))
+        *df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
 
 
 def previous_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str, *,

@@ -27,7 +27,7 @@ def load_batches(tiers: DataFrame, batch_size: int = PlanOptions.batch_size) ->
         (F.sum(parts).over(through) - parts).alias("files_before"),
         (F.sum("n").over(through) - F.col("n")).alias("tables_before"),
         F.sum("n").over(whole).alias("n_tables"))
-    numbered = number_rows(tiers.withColumn("_name", order_key("table")), ["org_key", "tier"], ["_name", "table"], "rn")
+    numbered = number_rows(tiers.withColumn("_name", order_key("table")), ["org_key", "tier"], ["_name", "table"], "rn", bounded=True)
     part = F.floor((F.col("rn") - 1) / size).cast("int") + 1
     placed = lookup_join(numbered, offsets, ["org_key", "tier"], "inner").withColumn("part", part)
     in_part = F.least(F.lit(size), F.col("n") - (F.col("part") - 1) * size)

@@ -121,5 +121,5 @@ def diagram_lines(entities: DataFrame, batches: DataFrame, diagram_edges: DataFr
         .unionByName(lines(tiers, 1, F.lit("    end"), tier, F.lit(3)))
         .unionByName(lines(edges, 2, F.format_string("    %s %s %s", F.col("src_name"), arrow, F.col("dst")),
                            order=F.col("order_no"), name=order_key("dst"))))
-    numbered = number_rows(everything, ["org_key"], ["block", "tier", "step", "order_no", "name"], "line_no")
-    return numbered.select("org_key", F.lit("diagram.mmd").alias("file_name"), "line_no", "line")
+    numbered = number_rows(everything, ["org_key"], ["block", "tier", "step", "order_no", "name"], "line_no", bounded=True)
+    return numbered.select("org_key", F.lit("diagram.mmd").alias("file_name"), F.col("line_no").cast("int").alias("line_no"), "line")

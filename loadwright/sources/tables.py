@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from loadwright.functions.types import spark_type
 from loadwright.operators.keymap import merge_key_map
 from loadwright.operators.skew import hot_hashes
 from loadwright.operators.staging import StagedColumn
-from loadwright.sources.scratch import new_path
 
 # How a staging table is prepared before rows are appended.
 DROP_AND_RECREATE, CREATE_IF_MISSING = "drop_recreate", "create_if_missing"
@@ -35,16 +35,44 @@ def write_staging(df: DataFrame, name: str, columns: Sequence[StagedColumn],
     return spark.table(name)
 
 
+def _version_root(spark: SparkSession, name: str) -> str:
+    database, _, table = name.rpartition(".")
+    home = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return f"{home.rstrip('/')}/{table.lower()}_versions"
+
+
+def _same_shape(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the column order of the stored table, which gets the columns that are new."""
+    stored = {f.name.lower(): f for f in spark.table(name).schema}
+    given = {f.name.lower(): f for f in df.schema}
+    lost = [f.name for key, f in stored.items() if key not in given]
+    other = [f.name for key, f in stored.items() if key in given and given[key].dataType != f.dataType]
+    if lost or other:
+        raise ValueError(f"{name} would lose columns {lost} and change the type of {other}")
+    added = [f for key, f in given.items() if key not in stored]
+    if added:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({fields})")
+    return df.select(*(given[key].name for key in stored), *(f.name for f in added))
+
+
 def publish(df: DataFrame, name: str) -> DataFrame:
     """Replace the content of table ``name``: write a new version, then switch to it.
 
-    ``df`` may read the table itself.  The old version stays where it is, so readers that
-    have started are not disturbed.
+    Versions lie below the location of the database, so they outlive the application and its
+    intermediate results.  ``df`` may read the table itself.  The old version stays where it is,
+    so readers that have started are not disturbed; ``remove_old_versions`` deletes those.
+
+    Columns that the stored table lacks are added to it; a column that is missing or has
+    another type fails, and nothing is written.
     """
     spark = df.sparkSession
-    path = new_path(spark, name.replace(".", "-"))
+    path = f"{_version_root(spark, name)}/{uuid4().hex}"
+    exists = spark.catalog.tableExists(name)
+    if exists:
+        df = _same_shape(spark, df, name)
     df.write.parquet(path)
-    if spark.catalog.tableExists(name):
+    if exists:
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
         spark.catalog.refreshTable(name)
     else:
@@ -52,6 +80,18 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def remove_old_versions(spark: SparkSession, name: str, keep: int = 1) -> int:
+    """Delete all but the current version of a published table and the ``keep - 1`` newest others."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_version_root(spark, name))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    current = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    others = [v for v in files.listStatus(root) if not current.endswith("/" + v.getPath().getName())]
+    old = sorted(others, key=lambda v: -v.getModificationTime())[keep - 1:]
+    for version in old:
+        files.delete(version.getPath(), True)
+    return len(old)
+
+
 def accumulate_key_map(new: DataFrame, name: str) -> DataFrame:
     """Add the unseen keys of ``new`` to the stored map; the default for key maps."""
     spark = new.sparkSession
@@ -124,6 +164,10 @@ def reset_staging(spark: SparkSession, tables: Iterable[str], key_maps: Iterable
 
 
 def teardown(spark: SparkSession, tables: Iterable[str], key_maps: Iterable[str] = ()) -> None:
-    """Drop staging tables, given in reverse load order; key maps only where named."""
-    for name in (*tables, *key_maps):
+    """Drop staging tables, given in reverse load order; key maps, with all their versions, only where named."""
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for name in key_maps:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        root = spark._jvm.org.apache.hadoop.fs.Path(_version_root(spark, name))
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
