@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwright.operators.resolve import EMPTY, RESOLVED, UNRESOLVED
 from loadwright.sources.scratch import cut
 
+# Values of more bytes are counted by their digest.
+_SHORT = 32
+
 
 def unresolved_report(resolved: DataFrame, table: str, lookups: Sequence[str], sample: int = 5) -> DataFrame:
     """Per lookup: rows by status, distinct missing keys, and the first few of them.
@@ -46,19 +49,24 @@ def profile_staged(staged: DataFrame, dictionary: DataFrame, approximate: bool =
     """Observed nulls, distinct values and longest text of each column, next to its declared type.
 
     ``dictionary`` lists the columns of this table (name, sql_type).  Exact distinct counts
-    shuffle every column's values once; ``approximate`` counts them in one pass instead.
+    shuffle every column's values once, values of more than ``_SHORT`` bytes as a digest of 128
+    bits; ``approximate`` counts them in one pass instead.
     """
-    entries = F.array(*(
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in staged.columns))
-    values = staged.select(F.inline(entries))
+    def entry(c: str) -> Column:
+        value = F.col(c).cast("string")
+        # the mark keeps a digest apart from a short value that reads the same
+        key = F.when(F.octet_length(value) > _SHORT, F.concat(F.lit("#"), F.md5(value))).otherwise(F.concat(F.lit("="), value))
+        return F.struct(F.lit(c).alias("name"), key.alias("value"), F.char_length(value).alias("length"))
+
+    values = staged.select(F.inline(F.array(*map(entry, staged.columns))))
     nulls = F.count_if(F.col("value").isNull())
-    longest = F.max(F.char_length("value"))
+    longest = F.max("length")
     if approximate:
         found = values.groupBy("name").agg(
             F.count(F.lit(1)).alias("n_rows"), nulls.alias("n_null"),
             F.approx_count_distinct("value").alias("n_distinct"), longest.alias("max_length"))
     else:
-        per_value = values.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        per_value = values.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"), longest.alias("length"))
         found = per_value.groupBy("name").agg(
             F.sum("n").alias("n_rows"),
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +41,7 @@ def _as_text(source: DataFrame, name: str, scales: Mapping[str, int]) -> Column:
     value = F.col(name)
     scale = {k.lower(): v for k, v in scales.items()}.get(name.lower())
     if scale is not None:
-        value = value.cast(T.DecimalType(38, scale))
+        value = value.try_cast(T.DecimalType(38, scale))
     return value.cast("string")
 
 
@@ -70,32 +68,59 @@ def stage_rows(source: DataFrame, columns: Sequence[StagedColumn],
     return source.select(*(_conformed(source, c, scales).alias(c.name) for c in columns))
 
 
+_MISFIT = "array<struct<column: string, reason: string, value: string>>"
+
+
+def _misfit(source: DataFrame, column: StagedColumn, scales: Mapping[str, int]) -> Column | None:
+    """What is wrong with a value, null if it fits; None where nothing can be."""
+    name = _source_name(source, column.name)
+    target = spark_type(column.sql_type)
+    if name is None:
+        return None
+    raw, limit = F.col(name), text_limit(column.sql_type)
+    text = _as_text(source, name, scales)
+    scaled = any(k.lower() == name.lower() for k in scales)
+    if target == "STRING" or limit:
+        if not limit and not scaled:
+            return None
+        wrong = F.when(raw.isNotNull() & text.isNull(), "type") if scaled else F.lit(None).cast("string")
+        if limit:
+            wrong = F.coalesce(wrong, F.when(F.char_length(text) > limit, "length"))
+        shown = F.coalesce(text, raw.cast("string"))
+    else:
+        kept = raw.try_cast(target)
+        wrong = F.when(raw.isNotNull() & kept.isNull(), "type")
+        kind = source.schema[name].dataType
+        if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            # a narrower type may round or cut: the value fits if the way back gives it again
+            wrong = F.coalesce(wrong, F.when(raw != kept.try_cast(kind), "precision"))
+        shown = raw.cast("string")
+    return F.when(wrong.isNotNull(), F.struct(F.lit(column.name).alias("column"), wrong.alias("reason"), shown.alias("value")))
+
+
+def checked_rows(source: DataFrame, columns: Sequence[StagedColumn], scales: Mapping[str, int] | None = None) -> DataFrame:
+    """``source`` with ``_misfits``: one entry for each value that does not fit its column.
+
+    Reasons are ``type``, ``length`` (in code points) and ``precision``: the target type would hold
+    another value, as when a fraction goes into whole numbers or a time of day into a date.
+    """
+    found = [m for m in (_misfit(source, c, scales or {}) for c in columns) if m is not None]
+    misfits = F.array_compact(F.array(*found)) if found else F.array()
+    return source.withColumn("_misfits", misfits.cast(_MISFIT))
+
+
+def split_checked(checked: DataFrame, columns: Sequence[StagedColumn], key_columns: Sequence[str],
+                  scales: Mapping[str, int] | None = None) -> Split:
+    """The two sides of ``checked_rows``; write those first if their source is dear to read."""
+    fits = F.size("_misfits") == 0
+    rejects = checked.where(~fits).select(*key_columns, F.inline("_misfits"))
+    return Split(stage_rows(checked.where(fits), columns, scales), rejects)
+
+
 def split_rejects(source: DataFrame, columns: Sequence[StagedColumn], key_columns: Sequence[str],
                   scales: Mapping[str, int] | None = None) -> Split:
     """Rows that fit their layout, staged, and one reject per value that does not fit.
 
-    Lengths count code points.  Rejects carry the key of the row, the column, the reason
-    (``type`` or ``length``) and the value as text.
+    Rejects carry the key of the row, the column, the reason and the value as text.
     """
-    scales = scales or {}
-    misfits, found = [], []
-    for column in columns:
-        name = _source_name(source, column.name)
-        target = spark_type(column.sql_type)
-        if name is None or target == "STRING":
-            continue
-        text = _as_text(source, name, scales)
-        limit = text_limit(column.sql_type)
-        if limit:
-            bad, reason = F.char_length(text) > limit, "length"
-        else:
-            bad, reason = F.col(name).isNotNull() & F.col(name).try_cast(target).isNull(), "type"
-        bad = F.coalesce(bad, F.lit(False))
-        misfits.append(bad)
-        found.append(F.struct(F.lit(column.name).alias("column"), F.when(bad, reason).alias("reason"), text.alias("value")))
-    any_misfit = reduce(or_, misfits, F.lit(False))
-    clean = stage_rows(source.where(~any_misfit), columns, scales)
-    none = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("column", "reason", "value")))
-    rejects = source.where(any_misfit).select(*key_columns, F.inline(F.array(*(found or [none])))).where(
-        F.col("reason").isNotNull())
-    return Split(clean, rejects)
+    return split_checked(checked_rows(source, columns, scales), columns, key_columns, scales)

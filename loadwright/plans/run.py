@@ -10,11 +10,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwright.operators.keymap import key_map_entries
+from loadwright.operators.keymap import build_key_map
 from loadwright.operators.resolve import (deferred_polymorphic, deferred_update, resolve_lookups,
                                           resolve_polymorphic)
-from loadwright.operators.staging import StagedColumn, split_rejects
+from loadwright.operators.staging import StagedColumn, checked_rows, split_checked
 from loadwright.options import PlanOptions
+from loadwright.sources.scratch import cut
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map, publish,
                                        rebuild_key_map, write_staging)
 
@@ -40,10 +41,13 @@ class TableLoad:
 
 @dataclass(frozen=True)
 class LoadedTables:
-    """Per table: the loaded rows, its key map, the rejects, and the name of its staging table."""
+    """Per table: the rows this run loaded, its key map and what stays out of that, the rejects, and the
+    name of its staging table.
+    """
 
     loaded: dict[str, DataFrame] = field(default_factory=dict)
     key_maps: dict[str, DataFrame] = field(default_factory=dict)
+    conflicts: dict[str, DataFrame] = field(default_factory=dict)
     rejects: dict[str, DataFrame] = field(default_factory=dict)
     staging: dict[str, str] = field(default_factory=dict)
 
@@ -56,6 +60,9 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
     per job to start and per lookup to postpone.  Tables of a tier run side by side; a
     tier starts when all key maps of the one before are written.  Lookups on dropped edges
     stay null until all tables are loaded, then only their tables are rewritten.
+
+    Each source is read once.  Rejects carry the match key and ``source_row``, which is unique in the
+    run.  Rows whose match key an accumulated key map has from an earlier run are not loaded again.
     """
     tiers: dict[int, list[str]] = {}
     for row in order.select("table", "tier").collect():
@@ -69,7 +76,9 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
     def load_one(table: str) -> None:
         job = loads[table]
         name = f"{database}.{options.staging_prefix}{table}"
-        split = split_rejects(job.source, job.columns, [job.match_key], job.scales)
+        checked, _ = cut(checked_rows(job.source, job.columns, job.scales).withColumn(
+            "source_row", F.monotonically_increasing_id()), f"checked-{table}")
+        split = split_checked(checked, job.columns, [job.match_key, "source_row"], job.scales)
         staged = write_staging(split.clean, name, job.columns,
                                DROP_AND_RECREATE if options.staging_drop_recreate else CREATE_IF_MISSING)
         done.staging[table] = name
@@ -82,10 +91,15 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
         missing = [c for c in (*job.lookups, *job.polymorphic) if f"{c}_id" not in rows.columns]
         empty = F.lit(None).cast("string")
         rows = rows.withColumns({f"{c}_{part}": empty for c in missing for part in ("id", "status")})
+        key_map = f"{database}.{options.key_map_prefix}{table}"
+        if not options.key_map_drop_recreate and spark.catalog.tableExists(key_map):
+            known = spark.table(key_map).select(F.col("legacy_key").alias("_known"))
+            rows = rows.join(known, F.col(job.match_key).cast("string") == F.col("_known"), "left_anti")
         done.loaded[table] = publish(job.load(rows), f"{database}.loaded_{table}")
-        entries = key_map_entries(done.loaded[table], "target_id", job.match_key)
+        found = build_key_map(done.loaded[table], "target_id", job.match_key)
         keep = rebuild_key_map if options.key_map_drop_recreate else accumulate_key_map
-        done.key_maps[table] = keep(entries, f"{database}.{options.key_map_prefix}{table}")
+        done.key_maps[table] = keep(found.entries, key_map)
+        done.conflicts[table] = found.conflicts
 
     def update_one(table: str) -> None:
         job = loads[table]

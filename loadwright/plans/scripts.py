@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadwright.functions.names import fold, order_key
-from loadwright.operators.layout import is_match_key
+from loadwright.operators.layout import FIXED_COLUMNS, is_match_key
 from loadwright.operators.skew import lookup_join, number_rows
 from loadwright.options import PlanOptions
 
@@ -26,7 +26,7 @@ def _prefix(kind: str, options: PlanOptions) -> str:
 
 
 def _full_name(kind: str, options: PlanOptions) -> Column:
-    return F.format_string(f"[{options.schema_name}].[{_prefix(kind, options)}%s]", "schema_name")
+    return F.concat(F.lit(f"[{options.schema_name}].[{_prefix(kind, options)}"), "schema_name", F.lit("]"))
 
 
 def _planned(entities: DataFrame, batches: DataFrame, *columns: str) -> DataFrame:
@@ -51,12 +51,15 @@ def create_statements(layout: DataFrame, entities: DataFrame, batches: DataFrame
     is_staging = kind == STAGING
     remark = F.col("comment") if is_staging else F.lit(None).cast("string")
     last = F.max("ordinal").alias("last")
+    # the fixed columns at the end of a staging table are no match keys, whatever the suffixes
+    fixed = F.lower("name").isin(*(n.lower() for n, _ in FIXED_COLUMNS)) if is_staging else F.lit(False)
+    is_key = is_match_key("name", options.match_key_suffixes) & ~fixed
     definition = F.format_string("    [%s] %s" + ("" if is_staging else " NULL"), "name", "sql_type")
     comment = F.coalesce(F.concat(F.lit("    -- "), remark), F.lit(""))
     per_table = layout.groupBy("org_key", fold("table").alias("key")).agg(
         last,
         F.array_sort(F.collect_list(F.struct("ordinal", definition.alias("text"), comment.alias("comment")))).alias("cols"),
-        _lines("ordinal", F.when(is_match_key("name", options.match_key_suffixes), F.col("name"))).alias("matched"))
+        _lines("ordinal", F.when(is_key, F.col("name"))).alias("matched"))
     planned = _planned(entities, batches, "file_no", "pos").withColumn("full_name", _full_name(kind, options))
     rows = lookup_join(planned, per_table, ["org_key", "key"], "inner")
     body = F.array_join(F.transform("cols", lambda c: F.concat(

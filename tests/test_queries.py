@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracle import compare, connect
+from workloads.oracle import ORACLE
+from workloads.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,10 +17,10 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
     assert compare(spark, db, SF_DIR, name) is None
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from loadwright.operators.scope import SYSTEM_ATTRIBUTES
 from workloads import fleet
 from workloads.fleet import literal
 from workloads.queries import BATCH_SIZE, LOADS, TPCH_EDGES, TPCH_TABLES
 
+# System attributes that are never staged from metadata, written out again as a check of the operator's.
+SYSTEM_ATTRIBUTES = (
+    "createdon", "createdby", "modifiedon", "modifiedby", "createdonbehalfby", "modifiedonbehalfby",
+    "owningbusinessunit", "owningteam", "owninguser", "ownerid", "statecode", "statuscode",
+    "overriddencreatedon", "importsequencenumber", "timezoneruleversionnumber",
+    "utcconversiontimezonecode", "versionnumber", "processid", "stageid", "traversedpath",
+)
+
 
 def values(rows, names: str) -> str:
     def item(v):
@@ -487,6 +494,19 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'events', event_id, 'props', 'type', md5(props) FROM events
         WHERE props IS NOT NULL AND TRY_CAST(props AS INTEGER) IS NULL""",
+    "stage_rejects_lossy": """
+        SELECT 'orders' AS "table", o_orderkey AS row_key, 'o_totalprice' AS "column",
+               CASE WHEN abs(o_totalprice) >= 2147483648 THEN 'type' ELSE 'precision' END AS reason
+        FROM orders WHERE o_totalprice != trunc(o_totalprice) OR abs(o_totalprice) >= 2147483648
+        UNION ALL
+        SELECT 'orders', o_orderkey, 'o_orderdate', 'precision' FROM orders WHERE o_orderdate != date_trunc('day', o_orderdate)
+        UNION ALL
+        SELECT 'events', event_id, 'ts', 'precision' FROM events WHERE ts != date_trunc('day', ts)
+        UNION ALL
+        SELECT 'events', event_id, 'user_id', 'type' FROM events WHERE user_id NOT BETWEEN -32768 AND 32767
+        UNION ALL
+        SELECT 'documents', doc_id, 'text', 'type' FROM documents
+        WHERE text IS NOT NULL AND TRY_CAST(text AS DECIMAL(38, 2)) IS NULL""",
     "stage_clean": """
         SELECT doc_id, lang, text, CAST(NULL AS INTEGER) AS statecode FROM documents
         WHERE coalesce(length(text), 0) <= 4000 AND coalesce(length(lang), 0) <= 2""",
@@ -507,6 +527,39 @@ ORACLE: dict[str, str] = {
     "key_map_merge": f"""
         SELECT CASE WHEN c_custkey % 2 = 0 THEN {_md5('earlier', 'c_custkey')} ELSE {_md5('customer', 'c_custkey')} END
                  AS target_id, CAST(c_custkey AS VARCHAR) AS legacy_key FROM customer""",
+    "key_map_versions": f"""
+        SELECT CASE WHEN c_custkey % 2 = 0 THEN {_md5('earlier', 'c_custkey')} ELSE {_md5('customer', 'c_custkey')} END
+                 AS target_id, CAST(c_custkey AS VARCHAR) AS legacy_key, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS name
+        FROM customer""",
+    "load_twice": f"""
+        SELECT 'loaded' AS kind, CAST(c_custkey AS VARCHAR) AS legacy_key, {_md5('customer', 'c_custkey')} AS target_id
+        FROM customer WHERE c_custkey % 2 = 1
+        UNION ALL
+        SELECT 'map', CAST(c_custkey AS VARCHAR),
+               CASE WHEN c_custkey % 2 = 0 THEN {_md5('earlier', 'c_custkey')} ELSE {_md5('customer', 'c_custkey')} END
+        FROM customer""",
+    "load_conflicts": f"""
+        SELECT {_md5('part', 'p_partkey')} AS target_id, p_name AS legacy_key,
+               min({_md5('part', 'p_partkey')}) OVER (PARTITION BY p_name) AS kept_id, 'duplicate' AS reason FROM part
+        QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY {_md5('part', 'p_partkey')}) > 1""",
+    "unresolved_report_lineitems": """
+        WITH keys AS (
+          SELECT unnest([{'lookup': 'l_orderkey', 'k': l_orderkey}, {'lookup': 'l_partkey', 'k': l_partkey},
+                         {'lookup': 'l_suppkey', 'k': l_suppkey}], recursive := true) FROM lineitem),
+        known AS (
+          SELECT 'l_orderkey' AS lookup, o_orderkey AS k FROM orders WHERE o_orderkey % 10 != 0
+          UNION ALL SELECT 'l_partkey', p_partkey FROM part WHERE p_partkey % 10 != 0
+          UNION ALL SELECT 'l_suppkey', s_suppkey FROM supplier WHERE s_suppkey % 10 != 0),
+        judged AS (
+          SELECT lookup, CAST(k AS VARCHAR) AS k, EXISTS (SELECT 1 FROM known WHERE known.lookup = keys.lookup AND known.k = keys.k) AS hit
+          FROM keys),
+        missing AS (SELECT DISTINCT lookup, k FROM judged WHERE NOT hit),
+        first AS (SELECT lookup, k FROM missing QUALIFY row_number() OVER (PARTITION BY lookup ORDER BY k) <= 5)
+        SELECT 'lineitem' AS "table", lookup, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_empty,
+               count(*) FILTER (WHERE hit) AS n_resolved, count(*) FILTER (WHERE NOT hit) AS n_unresolved,
+               (SELECT count(*) FROM missing m WHERE m.lookup = j.lookup) AS n_missing_keys,
+               coalesce((SELECT string_agg(k, ', ' ORDER BY k) FROM first f WHERE f.lookup = j.lookup), '') AS missing_sample
+        FROM judged j GROUP BY lookup""",
     "key_map_rebuild": f"""SELECT {_md5('customer', 'c_custkey')} AS target_id,
                CAST(c_custkey AS VARCHAR) AS legacy_key FROM customer""",
     "resolve_orders": RESOLVED_ORDERS,

@@ -25,8 +25,8 @@ from loadwright.plans.scripts import KEY_MAP, STAGING, create_statements, diagra
 from loadwright.sources.scratch import settle
 from loadwright.sources.snapshots import attribute_targets, flatten_snapshot, read_snapshot
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map,
-                                       clustered_lookup, cluster_by_match_key, rebuild_key_map, reset_staging,
-                                       write_staging)
+                                       clustered_lookup, cluster_by_match_key, rebuild_key_map, remove_old_versions,
+                                       reset_staging,                                       write_staging)
 from workloads import fleet
 from workloads.fleet import read
 
@@ -328,6 +328,20 @@ def stage_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("table", "row_key", "column", "reason", F.md5("value").alias("value_md5"))
 
 
+def stage_rejects_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a target type would change or cannot hold."""
+    parts = (
+        ("orders", "o_orderkey", [StagedColumn("o_totalprice", "INT"), StagedColumn("o_orderdate", "DATE")], {}),
+        ("events", "event_id", [StagedColumn("ts", "DATE"), StagedColumn("user_id", "SMALLINT")], {}),
+        ("documents", "doc_id", [StagedColumn("text", "NVARCHAR(MAX)")], {"text": 2}))
+    out = None
+    for table, key, columns, scales in parts:
+        rejects = split_rejects(read(spark, sf_dir, table), columns, [key], scales).rejects
+        part = rejects.select(F.lit(table).alias("table"), F.col(key).alias("row_key"), "column", "reason")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stage_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [StagedColumn("doc_id", "BIGINT"), StagedColumn("lang", "NVARCHAR(2)"),
                StagedColumn("text", "NVARCHAR(4000)"), StagedColumn("statecode", "INT")]
@@ -396,6 +410,19 @@ def key_map_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild_key_map(later, name)
 
 
+def key_map_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of an earlier run, merged with a later one that carries a further column, and merged again."""
+    name = f"{fleet.new_database(spark)}.guid_customer"
+    earlier, _ = _map_runs(spark, sf_dir)
+    named = loaded(spark, sf_dir, "customer", "c_custkey").select(
+        "target_id", F.col("c_custkey").cast("string").alias("legacy_key"), F.col("c_name").alias("name"))
+    accumulate_key_map(earlier, name)
+    accumulate_key_map(named, name)
+    merged = accumulate_key_map(named, name)
+    remove_old_versions(spark, name)
+    return merged
+
+
 def partial_customer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key map without every tenth customer, so that some lookups find nothing."""
     return loaded(spark, sf_dir, "customer", "c_custkey").where("c_custkey % 10 != 0").select(
@@ -427,6 +454,17 @@ def unresolved_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unresolved_report(_resolved_orders(spark, sf_dir), "orders", ["o_custkey"])
 
 
+def unresolved_report_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lookups; every tenth key of each target is missing."""
+    keys = {"orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    maps = {
+        table: loaded(spark, sf_dir, table, key).where(F.col(key) % 10 != 0).select(
+            "target_id", F.col(key).cast("string").alias("legacy_key"))
+        for table, key in keys.items()}
+    rows = resolve_lookups(read(spark, sf_dir, "lineitem").select(*LINE_LOOKUPS), LINE_LOOKUPS, maps)
+    return unresolved_report(rows, "lineitem", list(LINE_LOOKUPS))
+
+
 def resolve_event_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = read(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").cast("string").alias("owner"),
@@ -501,6 +539,31 @@ def tiered_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_form(run_plan(spark, plan.tiers, plan.dropped, loads, fleet.new_database(spark)).loaded)
 
 
+def load_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even customers loaded by an earlier run, then all: the second run loads the others only."""
+    plan = _one_plan(spark, TPCH_EDGES, ("customer",))
+    database = fleet.new_database(spark)
+    names, again = LOADS["customer"][0], PlanOptions(staging_drop_recreate=False)
+
+    def load(rows: DataFrame, origin: str) -> TableLoad:
+        return TableLoad(rows, _columns(names), names[0],
+                         lambda staged: staged.withColumn("target_id", target_id(origin, names[0])))
+
+    customers = read(spark, sf_dir, "customer")
+    run_plan(spark, plan.tiers, plan.dropped, {"customer": load(customers.where("c_custkey % 2 = 0"), "earlier")}, database)
+    done = run_plan(spark, plan.tiers, plan.dropped, {"customer": load(customers, "customer")}, database, again)
+    ids = done.loaded["customer"].select(F.lit("loaded").alias("kind"), F.col(names[0]).alias("legacy_key"), "target_id")
+    return ids.unionByName(done.key_maps["customer"].select(F.lit("map").alias("kind"), "legacy_key", "target_id"))
+
+
+def load_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts loaded under their names, which some share."""
+    plan = _one_plan(spark, TPCH_EDGES, ("part",))
+    job = TableLoad(read(spark, sf_dir, "part"), _columns(["p_partkey", "p_name"]), "p_name",
+                    lambda rows: rows.withColumn("target_id", target_id("part", "p_partkey")))
+    return run_plan(spark, plan.tiers, plan.dropped, {"part": job}, fleet.new_database(spark)).conflicts["part"]
+
+
 def with_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a lookup to their first order, which closes a cycle."""
     first = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
@@ -650,6 +713,7 @@ QUERIES: dict[str, Query] = {
     "diagram_script": diagram_script,
     "stage_orders": stage_orders,
     "stage_rejects": stage_rejects,
+    "stage_rejects_lossy": stage_rejects_lossy,
     "stage_clean": stage_clean,
     "staging_modes": staging_modes,
     "key_map": key_map,
@@ -657,11 +721,15 @@ QUERIES: dict[str, Query] = {
     "key_map_conflicts": key_map_conflicts,
     "key_map_merge": key_map_merge,
     "key_map_rebuild": key_map_rebuild,
+    "key_map_versions": key_map_versions,
     "resolve_orders": resolve_orders,
     "resolve_lineitems": resolve_lineitems,
     "resolve_event_owner": resolve_event_owner,
     "unresolved_report": unresolved_report_query,
+    "unresolved_report_lineitems": unresolved_report_lineitems,
     "tiered_load": tiered_load,
+    "load_twice": load_twice,
+    "load_conflicts": load_conflicts,
     "polymorphic_load": polymorphic_load,
     "deferred_update": deferred_update_query,
     "deferred_update_keeps_ids": deferred_update_keeps_ids,
