@@ -46,6 +46,7 @@ def declared_type(attr_type: Column, max_length: Column, date_format: Column,
 
 def type_notes(attr_type: Column, max_length: Column, date_format: Column) -> Column:
     """The dictionary's remark on a type; empty when there is nothing to say."""
+    # The wording of the remarks.
     return F.coalesce(
         F.when(attr_type == "String", F.concat(F.lit("Max length: "), text_length(max_length).cast("string")))
         .when(attr_type == "Memo", F.concat(F.lit("Max length: "), max_length.cast("string")))

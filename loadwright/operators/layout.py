@@ -75,6 +75,7 @@ def add_companions(columns: DataFrame) -> DataFrame:
     def row(**changed: Column) -> Column:
         return F.struct(*(changed.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in COLUMNS))
 
+    # Names and wording of the companions.
     plain = dict(is_lookup=F.lit(False), is_polymorphic=F.lit(False), targets=F.lit(None), description=F.lit(""),
                  is_primary_id=F.lit(False), is_primary_name=F.lit(False), sql_type=F.lit(SHORT_TEXT))
     base = row(**plain, name=F.concat("name", F.lit("_base")), is_type_companion=F.lit(False),
@@ -89,6 +90,7 @@ def add_companions(columns: DataFrame) -> DataFrame:
 
 def column_comment() -> Column:
     """What is known about a lookup, for readers of the table definition."""
+    # The wording of the comment.
     more = F.size("targets") - COMMENT_TARGETS
     listed = F.concat(
         F.when(F.col("is_polymorphic"), "polymorphic lookup: ").otherwise("lookup: "),
