@@ -108,7 +108,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     # who is to receive the start of a document: the one before it
     links = written(places.join(after, "_place").select(
         F.col("doc_id").alias("_from_id"), F.col("_key").alias("_from_key"), "_to_id", "_to_key", "_length"), "spotsigs-links")
-    sent = own.join(links, own["_key"].eqNullSafe(links["_from_key"]) & own["doc_id"].eqNullSafe(links["_from_id"])).select(
+    # both joins have the same kind of keys, so the documents are shuffled once for the two
+    to_send = (own["_key"] == links["_from_key"]) & own["doc_id"].eqNullSafe(links["_from_id"])
+    sent = own.join(links, to_send).select(
         "_to_id", "_to_key", F.expr("substring(text, 1, _length)").alias("next_start"),
         F.col("signatures").alias("next_signatures"))
     if slim.count() > n:
