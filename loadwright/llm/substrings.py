@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ WINDOW, SHINGLE = 13, 6
 # A shingle that more documents have is looked up window by window, so that no shard grows with it.
 HOT = 4096
 
-# An index holds about so many words, or answers about so many stretches.
-_WORDS, _STRETCHES = 1 << 18, 1 << 18
+# An index answers about so many stretches, of at most 20 words each.
+_STRETCHES = 1 << 16
 
 _CACHED = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,22 +73,28 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words around each shared anchor: all consecutive windows that have it, or each window alone if it is hot."""
     hashes = _Hashes()
     for batch in batches:
-        rows = []
+        out: dict[str, list] = {c: [] for c in ("key", "hot", "_doc", "_order", "start", "stretch")}
         for doc, order, data, shared, hot in zip(batch["_doc"], batch["_order"], batch["data"], batch["shared"], batch["hot"]):
             words = data.split()
+            whole = b" ".join(words)
+            edges = [0, *accumulate(len(w) + 1 for w in words)]
             h = np.array(list(map(hashes.__getitem__, words)), np.uint64)
             place, value = anchors(h)
             begins = np.flatnonzero(np.diff(place, prepend=-1))
-            ends = np.append(begins[1:], len(place))
-            values = value[begins]
-            for i in np.flatnonzero(np.isin(values, shared)):
-                a, b = int(begins[i]), int(ends[i])
-                rows.append((int(values[i]), False, doc, order, a, b" ".join(words[a:b - 1 + WINDOW])))
-            if len(hot):
-                whole = _rolling(h, WINDOW).view(np.int64)
-                for p in np.flatnonzero(np.isin(value, hot)).tolist():
-                    rows.append((int(whole[p]), True, doc, order, p, b" ".join(words[p:p + WINDOW])))
-        yield pd.DataFrame(rows, columns=["key", "hot", "_doc", "_order", "start", "stretch"])
+            values, ends = value[begins], np.append(begins[1:], len(place)) - 1 + WINDOW
+            found = np.isin(values, shared)
+            alone = np.flatnonzero(np.isin(value, hot)) if len(hot) else np.zeros(0, np.int64)
+            starts = begins[found].tolist() + alone.tolist()
+            stops = ends[found].tolist() + (alone + WINDOW).tolist()
+            out["key"] += values[found].tolist()
+            if len(alone):
+                out["key"] += _rolling(h, WINDOW).view(np.int64)[alone].tolist()
+            out["hot"] += [False] * int(found.sum()) + [True] * len(alone)
+            out["_doc"] += [doc] * len(starts)
+            out["_order"] += [order] * len(starts)
+            out["start"] += starts
+            out["stretch"] += [whole[edges[a]:edges[b] - 1] for a, b in zip(starts, stops)]
+        yield pd.DataFrame(out)
 
 
 class WaveletMatrix:
@@ -159,63 +166,73 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_orders(stretches: list[bytes], orders: list[int]) -> list[np.ndarray]:
-    """For each window of each stretch, the smallest order of a stretch that holds the same words."""
-    ids: dict[bytes, int] = {}
-    words = [s.split(b" ") for s in stretches]
-    sizes = np.array([len(w) for w in words])
-    text = np.zeros(int(sizes.sum()) + len(words), np.int64)
-    of = np.empty(len(text), np.int64)
-    at, starts = 0, []
-    for w, order in zip(words, orders):
-        text[at:at + len(w)] = [ids.setdefault(x, len(ids) + 1) for x in w]
-        of[at:at + len(w) + 1] = order
-        starts.append(at + np.arange(len(w) - WINDOW + 1))
-        at += len(w) + 1
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def first_orders(stretches: list[bytes], orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each stretch, the smallest order of a stretch that holds the same words.
+
+    Returns these for all windows in turn, and how many windows each stretch has.
+    """
+    ids = _Ids({b"\n": 0})  # stands between stretches; no word is a line feed
+    text = np.array(list(map(ids.__getitem__, (b" \n ".join(stretches) + b" \n").split(b" "))), np.int64)
+    ends = np.flatnonzero(text == 0)
+    sizes = np.diff(ends, prepend=-1)
+    of = np.repeat(orders, sizes)
+    windows = sizes - WINDOW
+    at = np.arange(len(text))
+    begin = at[at + WINDOW <= np.repeat(ends, sizes)]
     index = FMIndex(text)
-    begin = np.concatenate(starts)
     low, high = index.find(np.lib.stride_tricks.sliding_window_view(text, WINDOW)[begin])
-    least = _least(of[index.order], low, high)
-    return np.split(least, np.cumsum(sizes - WINDOW + 1)[:-1])
+    return _least(of[index.order], low, high), windows
+
+
+def covered_ranges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Word ranges that an earlier document has, for rows by key, stretch and order, the keys complete."""
+    stretches, keys, orders = rows["stretch"].tolist(), rows["key"].to_numpy(), rows["_order"].to_numpy()
+    new = np.ones(len(rows), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | np.array([a != b for a, b in zip(stretches, stretches[1:])], bool)
+    firsts = np.flatnonzero(new)
+    least, windows = first_orders([stretches[i] for i in firsts], orders[firsts])
+    # all windows of all rows: those of the row's stretch
+    which = np.cumsum(new) - 1
+    count = windows[which]
+    row = np.repeat(np.arange(len(rows)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hit = least[(np.cumsum(windows) - windows)[which[row]] + offset] < orders[row]
+    row, offset = row[hit], offset[hit]
+    begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(offset, prepend=0) > WINDOW))
+    ends = np.append(begins[1:], len(row)) - 1 if len(row) else begins
+    at = rows["start"].to_numpy()[row] + offset
+    return pd.DataFrame({"_doc": rows["_doc"].to_numpy()[row[begins]], "_order": orders[row[begins]],
+                         "begin": at[begins], "end": at[ends] + WINDOW})
 
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word ranges of documents that an earlier document has; rows come by key, stretch and order.
+    """``covered_ranges`` of rows by key, stretch and order, an index for some keys at a time.
 
-    One index answers for some keys at a time, and for the whole of a key, unless that is hot: then its stretches
-    are single windows, each of which needs no other stretch than its own first row.
+    A key is never split, unless it is hot: then its stretches are single windows, each of which needs no other
+    stretch than its own first row.
     """
-    different: list[bytes] = []
-    orders: list[int] = []
-    asked: list[tuple[int, int, int, int]] = []
-    words, key, hot = 0, None, False
-
-    def answer() -> pd.DataFrame:
-        found = first_orders(different, orders) if different else []
-        out = []
-        for which, doc, order, start in asked:
-            hits = np.flatnonzero(found[which] < order)
-            if len(hits):
-                cuts = np.flatnonzero(np.diff(hits) > WINDOW)
-                for a, b in zip(np.append(hits[0], hits[cuts + 1]), np.append(hits[cuts], hits[-1])):
-                    out.append((doc, order, start + int(a), start + int(b) + WINDOW))
-        return pd.DataFrame(out, columns=["_doc", "_order", "begin", "end"], dtype="int64")
-
+    waiting: list[pd.DataFrame] = []
+    n = 0
     for batch in batches:
-        for k, h, doc, order, start, stretch in zip(*(batch[c].tolist() for c in ("key", "hot", "_doc", "_order", "start", "stretch"))):
-            full = words >= _WORDS or len(asked) >= _STRETCHES
-            if full and (k != key or hot and h):
-                yield answer()
-                keep = k == key and different and different[-1] == stretch
-                different, orders = (different[-1:], orders[-1:]) if keep else ([], [])
-                asked, words = [], 0
-            if not (different and k == key and different[-1] == stretch):
-                different.append(stretch)
-                orders.append(order)
-                words += stretch.count(b" ") + 2
-            key, hot = k, h
-            asked.append((len(different) - 1, doc, order, start))
-    yield answer()
+        waiting.append(batch)
+        n += len(batch)
+        if n < _STRETCHES:
+            continue
+        rows = pd.concat(waiting, ignore_index=True)
+        last = int(np.flatnonzero(rows["key"].to_numpy() == rows["key"].iat[-1])[0])
+        if not last and not rows["hot"].iat[-1]:
+            continue
+        done, rest = (rows.iloc[:last], rows.iloc[last:]) if last else (rows, rows[rows["stretch"] == rows["stretch"].iat[-1]].iloc[:1])
+        yield covered_ranges(done)
+        waiting, n = [rest], len(rest)
+    if waiting:
+        yield covered_ranges(pd.concat(waiting, ignore_index=True))
 
 
 def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,14 +262,18 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         "doc_id", F.xxhash64("doc_id", "text").alias("_doc"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("_order"),
         F.col("text").cast("binary").alias("data"))
     sets = texts.select("_doc", "_order", "data").mapInPandas(_anchor_sets, "_doc long, _order long, anchors array<long>")
-    # counted and joined from one shuffle; no anchor has more rows than there are documents
-    placed = sets.select("_doc", "_order", F.explode("anchors").alias("anchor")).repartition("anchor")
+    # counted and joined from one shuffle, as both need the same columns; no anchor has more rows than documents
+    each = sets.select("_doc", "_order", F.explode("anchors").alias("anchor"))
+    # never null, and said to be so: else only one of the two would filter before the shuffle
+    placed = each.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in each.columns)).repartition("anchor")
     counts = placed.groupBy("anchor").agg(
-        F.min("_order").alias("low"), F.max("_order").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        F.min("_order").alias("low"), F.max("_order").alias("high"), F.max("_doc").alias("some"),
+        F.count(F.lit(1)).alias("n")).where("low < high AND some IS NOT NULL").drop("some")
     per_doc = placed.join(counts, "anchor").groupBy("_doc", "_order").agg(
         F.collect_list(F.when(F.col("n") <= hot, F.col("anchor"))).alias("shared"),
         F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
-    around = texts.join(per_doc, ["_doc", "_order"]).select("_doc", "_order", "data", "shared", "hot").mapInPandas(
+    # the documents are shuffled once for this join and the last one
+    around = texts.join(per_doc, ["_doc", "_order"]).select("doc_id", "_doc", "_order", "data", "shared", "hot").mapInPandas(
         _stretches, "key long, hot boolean, _doc long, _order long, start long, stretch binary")
     sharded = around.repartition("key").sortWithinPartitions("key", "stretch", "_order")
     ranges = sharded.mapInPandas(_covered, "_doc long, _order long, begin long, end long")

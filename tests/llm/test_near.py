@@ -111,6 +111,19 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_edits_within():
+    rng = random.Random(8)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randrange(30)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(2)] = rng.choice(["", "x", "a", "bb"])
+        b = "".join(b) if rng.random() < 0.9 else "".join(rng.choice("abc") for _ in range(rng.randrange(30)))
+        most = rng.randrange(8)
+        assert lines.within(a, b, most) == (edit_distance(a, b) <= most), (a, b, most)
+
+
 def test_lines(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
@@ -253,7 +266,6 @@ def test_substrings_empty_table_and_long_text(spark):
 
 
 def test_index_over_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "_WORDS", 40)
     monkeypatch.setattr(substrings, "_STRETCHES", 5)
     test_substrings(spark, 2)
 
