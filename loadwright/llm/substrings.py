@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loadwright.llm.common import needed
 
 # Words that must repeat; words whose hash chooses the stretch in which a window is looked up.
-WINDOW, SHINGLE = 13, 6
+WINDOW, SHINGLE = 13, 5
 
 # A shingle that more documents have is looked up window by window, so that no shard grows with it.
 HOT = 4096
