@@ -22,7 +22,7 @@ HOT = 4096
 # An index answers about so many stretches, of at most 20 words each.
 _STRETCHES = 1 << 16
 
-_CACHED = 300_000
+_CACHED = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = (1 << 63) - 1
 
@@ -35,6 +35,14 @@ class _Hashes(dict):
         return found
 
 
+# One for a Python worker, so that its tasks share what it remembers.
+_known = _Hashes()
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(_known.__getitem__, words)), np.uint64)
+
+
 def _rolling(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` words."""
     out = np.zeros(len(h) - length + 1, np.uint64)
@@ -56,7 +64,6 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = _Hashes()
     for batch in batches:
         found = []
         for data in batch["data"]:
@@ -64,21 +71,20 @@ def _anchor_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(words) < WINDOW:
                 found.append(np.zeros(0, np.int64))
                 continue
-            place, value = anchors(np.array(list(map(hashes.__getitem__, words)), np.uint64))
+            place, value = anchors(_word_hashes(words))
             found.append(np.unique(value[np.flatnonzero(np.diff(place, prepend=-1))]))
         yield pd.DataFrame({"_doc": batch["_doc"], "_order": batch["_order"], "anchors": found})
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words around each shared anchor: all consecutive windows that have it, or each window alone if it is hot."""
-    hashes = _Hashes()
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("key", "hot", "_doc", "_order", "start", "stretch")}
         for doc, order, data, shared, hot in zip(batch["_doc"], batch["_order"], batch["data"], batch["shared"], batch["hot"]):
             words = data.split()
             whole = b" ".join(words)
             edges = [0, *accumulate(len(w) + 1 for w in words)]
-            h = np.array(list(map(hashes.__getitem__, words)), np.uint64)
+            h = _word_hashes(words)
             place, value = anchors(h)
             begins = np.flatnonzero(np.diff(place, prepend=-1))
             values, ends = value[begins], np.append(begins[1:], len(place)) - 1 + WINDOW
@@ -143,9 +149,9 @@ class FMIndex:
 
     def find(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of suffixes that begin with each row of ``patterns``, extended word by word to the left."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.wavelet.size, np.int64)
-        for symbol in patterns.T[::-1]:
+        last, *others = patterns.T[::-1]
+        low, high = self.begin[last], self.begin[last + 1]
+        for symbol in others:
             low = self.begin[symbol] + self.wavelet.descend(symbol, low) - self.zero[symbol]
             high = self.begin[symbol] + self.wavelet.descend(symbol, high) - self.zero[symbol]
         return low, high
