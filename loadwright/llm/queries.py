@@ -18,7 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(table(spark, sf_dir, "documents"), grams=lines.GRAMS)
 
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
