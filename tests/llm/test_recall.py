@@ -36,3 +36,9 @@ def test_lines_with_changed_words_are_found(spark, tmp_path, changed):
             copies.add(len(texts) - 1)
     found = removed(spark, tmp_path, texts)
     assert found <= copies and len(copies) > 50 and len(found) >= 0.97 * len(copies)
+
+
+def test_short_lines_and_lines_without_spaces_are_removed(spark, tmp_path):
+    texts = ["Ietzte.", "Stteen Erachtz.", "ietzte", "stteen erachtz!", "東京都は日本の首都であり世界最大の都市の一つである",
+             "東京都は日本の首都であり世界最大の都市の一つである。", "東京都は日本の首部であり世界最大の都市の一つである", "a", "A!", "b", "abcdefg", "abcxefg"]
+    assert removed(spark, tmp_path, texts) == {2, 3, 5, 6, 8, 11}
