@@ -141,3 +141,111 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dens
     repeats = Window.partitionBy("doc_id", "_text").orderBy("_text")
     return (hashed.join(kept, met, "left_semi").withColumn("_nth", F.row_number().over(repeats))
             .where("_nth = 1").select(*docs.columns))
+
+
+# The pipeline's stage: near copies have this Jaccard similarity of their sets of shingles of so many words.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+
+# (shingles in a sample, samples): at 0.8 two sets agree in none of the samples once in 5,000 pairs.
+SAMPLES = (4, 16)
+
+_PART = 4096
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def _shingles(data: bytes | None, shingle: int) -> np.ndarray:
+    """The different hashes of all runs of ``shingle`` words in lower case, or of all words if there are fewer."""
+    words = (data or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+    last = ends[shingle - 1:] or ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b - 1], SEED) for a, b in zip([0, *ends], last)], np.uint64))
+
+
+def _sample_keys(found: np.ndarray) -> np.ndarray:
+    size, samples = SAMPLES
+    salt = _mixed(np.arange(1, 2 * size * samples + 1, dtype=np.uint64)).reshape(2, -1, 1)
+    least = np.full(size * samples, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _PART):
+        # the low bits of a product are weak; shifted out
+        hashed = (found[at:at + _PART] * (salt[0] | np.uint64(1)) + salt[1]) >> np.uint64(16)
+        np.minimum(least, hashed.min(axis=1), out=least)
+    key = np.arange(samples, dtype=np.uint64)
+    for one in least.reshape(samples, size).T:
+        key = _mixed(key * _STEP ^ one)
+    return key.view(np.int64)
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): those pairs of sets that have the similarity; texts are fetched for these only."""
+
+    @F.pandas_udf("array<long>")
+    def of_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_shingles(t, shingle).view(np.int64) for t in texts])
+
+    pairs = written(pairs.distinct(), "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = docs.select("_text", "text").join(sets.join(wanted, "node").select("node", "_text"), "_text").dropDuplicates(["node"])
+    found = written(texts.select("node", of_batch(F.col("text").cast("binary")).alias("s")), "simhash-shingles")
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").withColumn(
+        "common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= (F.size("x") + F.size("y") - F.col("common")) * similarity - 1e-9).select("a", "b")
+
+
+def _similar_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect the sets just as all compared pairs at the similarity do.
+
+    Each set is compared with the smallest of its bucket first; then pairs of a bucket that are still apart.
+    """
+    keyed = sets.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+    shared = written(keyed.join(sizes, "key"), "simhash-shared")
+    stars = shared.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    links = written(_similar(stars, docs, sets, shingle, similarity), "simhash-links")
+    roots = components(links, "simhash-stars")
+    rooted = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart, parts = rooted.join(mixed, "key", "left_semi"), F.ceil(F.col("n") / _PART)
+    left = apart.select("key", F.col("node").alias("a"), F.col("root").alias("p"),
+                        F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    right = apart.select("key", F.col("node").alias("b"), F.col("root").alias("q"),
+                         F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+    rest = left.join(right, ["key", "part"]).where("a < b AND p <> q").select("a", "b")
+    return links.union(_similar(rest, docs, sets, shingle, similarity))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """``docs`` with one row left of each class of texts that hang together at the Jaccard similarity of their shingles.
+
+    The row is chosen as by ``keep_one``.  Texts without words are one class.
+    """
+
+    @F.pandas_udf("node binary, keys array<long>")
+    def of_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [_shingles(t, shingle) for t in texts]
+            yield pd.DataFrame({"node": [xxhash.xxh128_digest(f.tobytes()) for f in found],
+                                "keys": [_sample_keys(f) if len(f) else np.zeros(0, np.int64) for f in found]})
+
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    rows = written(hashed.select("doc_id", "_text", of_batch(F.col("text").cast("binary")).alias("_set")).select(
+        "doc_id", "_text", "_set.*"), "simhash-sets")
+    sets = written(rows.dropDuplicates(["node"]).select("node", "_text", "keys"), "simhash-distinct-sets")
+    texts = hashed.select("_text", "text")
+    roots = components(_similar_links(texts, sets, shingle, similarity), "simhash-similar")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text"))
+    kept = rows.select("doc_id", "_text", "node").join(roots, "node", "left").groupBy(
+        F.coalesce("root", "node").alias("root")).agg(best.alias("best")).select(
+        F.col("best.doc_id").alias("_id"), F.col("best._text").alias("_kept"))
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_kept"))
+    repeats = Window.partitionBy("doc_id", "_text").orderBy("_text")
+    return (hashed.join(kept, met, "left_semi").withColumn("_nth", F.row_number().over(repeats))
+            .where("_nth = 1").select(*docs.columns))

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from loadwright.llm.queries import op2_line_dedup
-from tests.llm.data import documents
+from tests.llm.data import DOCS, Groups, documents
 from tests.llm.test_near import edit_distance
 
 
@@ -42,3 +42,29 @@ def test_short_lines_and_lines_without_spaces_are_removed(spark, tmp_path):
     texts = ["Ietzte.", "Stteen Erachtz.", "ietzte", "stteen erachtz!", "東京都は日本の首都であり世界最大の都市の一つである",
              "東京都は日本の首都であり世界最大の都市の一つである。", "東京都は日本の首部であり世界最大の都市の一つである", "a", "A!", "b", "abcdefg", "abcxefg"]
     assert removed(spark, tmp_path, texts) == {2, 3, 5, 6, 8, 11}
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = list(DOCS)
+    for i in range(120):
+        base = [word() for _ in range(rng.randrange(40, 300))]
+        near = list(base)
+        for at in rng.sample(range(len(base)), rng.randrange(1, 1 + len(base) // 30)):
+            near[at] = word()
+        rows += [(100 + 2 * i, " ".join(base), "en", "a"), (101 + 2 * i, " ".join(near), "en", "a")]
+    sets = {}
+    for i, text, *_ in rows:
+        w = (text or "").lower().encode().split()
+        sets[i] = {tuple(w[p:p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    groups = Groups()
+    for a in ids:
+        groups.find(a)
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    assert sum(len(g) > 1 for g in groups.sets()) > 50
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, documents(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(map(min, groups.sets())) and kept[0].fp == "x"
