@@ -29,6 +29,7 @@ def add_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN, anch
 
     Words are runs of letters and digits in lower case.  A content word that follows an anchor, or begins the
     text, starts a signature: the anchor, it and the content words after it, ``chain`` in all, fewer at the end.
+    So does, without an anchor, each content word that these do not reach, so that no content word is left out.
     In a text of common words alone every word counts as one of content.  Null texts and texts without words
     have no signature.
     """
@@ -41,9 +42,11 @@ def add_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN, anch
     split = df.withColumn("_w", F.split(plain, " ")).withColumn("_at", F.filter(
         places, lambda i: ~common(F.get("_w", i)) & (F.get("_w", i) != ""))).withColumn("_at", F.when(
             (F.size("_at") == 0) & (F.get("_w", F.lit(0)) != ""), places).otherwise(F.col("_at")))
+    # the chain words before it are content words too, so none of those that reach it follows an anchor
+    left_out = lambda at, k: (k >= chain) & (at - F.get("_at", k - chain) == chain)
     spots = F.transform("_at", lambda at, k: F.when(
-        (at == 0) | common(F.get("_w", at - 1)),
-        F.hash(F.when(at > 0, F.get("_w", at - 1)), F.get("_w", at),
+        (at == 0) | common(F.get("_w", at - 1)) | left_out(at, k),
+        F.hash(F.when((at > 0) & common(F.get("_w", at - 1)), F.get("_w", at - 1)), F.get("_w", at),
                *(F.get("_w", F.get("_at", k + i)) for i in range(1, chain)))))
     return split.withColumn(name, F.array_sort(F.array_distinct(F.array_compact(spots)))).drop("_w", "_at")
 

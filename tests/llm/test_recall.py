@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from loadwright.llm import spotsigs
 from loadwright.llm.queries import op2_line_dedup
 from tests.llm.data import DOCS, Groups, documents
 from tests.llm.test_near import edit_distance
@@ -68,3 +69,15 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert sum(len(g) > 1 for g in groups.sets()) > 50
     kept = corpus_pipeline.keep_one_of_near_copies(spark, documents(spark, rows), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(map(min, groups.sets())) and kept[0].fp == "x"
+
+
+def test_spotsigs_reach_every_content_word(spark):
+    plain = [f"word{i}x" for i in range(40)]
+    mixed = ["der", *plain[:9], "the", *plain[9:20], "of", "the", *plain[20:]]
+    texts = [" ".join(w) for w in (plain, mixed)]
+    for w in (plain, mixed):
+        texts += [" ".join([*w[:i], "other", *w[i + 1:]]) for i in range(len(w)) if w[i].startswith("word")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: tuple(r.s) for r in spotsigs.add_signatures(frame, "text", "s").collect()}
+    assert len(set(found.values())) == len(texts)
+    assert len(set(found[0]) & set(found[2 + 39])) > 30
