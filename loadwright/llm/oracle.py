@@ -56,4 +56,38 @@ chosen AS (SELECT source, arg_min(phase, {'miss': miss, 'phase': phase}) AS phas
 SELECT doc_id, size, source_size, target, taken
 FROM tried t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.phase = c.phase"""
 
-ORACLE: dict[str, str] = {"op5_urls": URLS, "op6_mixing": MIXING}
+# Words of every piece, then all runs of up to five of them; sums of 128 bits keep the scores exact.
+PHRASES = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sized AS (SELECT lang, w, len(w) AS size FROM words WHERE len(w) > 0),
+totals AS (SELECT lang, CAST(sum(size) AS BIGINT) AS n FROM sized GROUP BY lang),
+starts AS (SELECT lang, w, size, unnest(range(1, size + 1)) AS i FROM sized),
+runs AS (
+  SELECT lang, m AS k, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM starts, (VALUES (1), (2), (3), (4), (5)) AS lengths(m) WHERE i + m - 1 <= size),
+known AS (
+  SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, j.cut,
+         CAST((CAST(1000 AS HUGEINT) * c.f * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM known c, (VALUES (1), (2), (3), (4)) AS j(cut), known x, known y, totals t
+  WHERE j.cut < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j.cut], ' ')
+    AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j.cut + 1:], ' ') AND t.lang = c.lang),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts) WHERE nth = 1),
+inner_runs AS (
+  SELECT c.lang, c.f, array_to_string(c.w[s.i:s.i + m.m - 1], ' ') AS phrase
+  FROM known c, (VALUES (1), (2), (3), (4)) AS s(i), (VALUES (2), (3), (4)) AS m(m)
+  WHERE m.m < c.k AND s.i + m.m - 1 <= c.k),
+covered AS (SELECT lang, phrase, max(f) AS f FROM inner_runs GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS "rank"
+  FROM best b LEFT JOIN covered v ON v.lang = b.lang AND v.phrase = b.phrase WHERE v.f IS NULL OR v.f < b.a)
+SELECT lang, "rank", phrase, a, l, r, n, score FROM ranked WHERE "rank" <= 2000"""
+
+ORACLE: dict[str, str] = {"op5_urls": URLS, "op6_mixing": MIXING, "op11_phrases": PHRASES}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwright.llm import lattice, lines, mixing, packing, sharding, simhash, spotsigs, substrings, toxicity, urls
+from loadwright.llm import (lattice, lines, mixing, packing, phrases, quality, resampling, sharding, simhash, spotsigs,
+                            substrings, toxicity, urls)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -68,4 +81,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_spotsigs": op9_spotsigs,
     "op10_sharding": op10_sharding,
+    "op11_phrases": op11_phrases,
+    "op12_quality": op12_quality,
+    "op13_resampling": op13_resampling,
 }
