@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadwright.operators.identity import has_key
 from loadwright.operators.skew import lookup_join
 from loadwright.sources.scratch import cut
 
@@ -82,3 +83,27 @@ def _double(links: DataFrame, n_rows: int) -> tuple[list[DataFrame], DataFrame |
         if seen["active"] == before and not seen["lowered"]:
             return settled, state.where(F.col("anc").isNotNull()).select("id", "is_root")
     return settled, None
+
+
+def with_waves(rows: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """Adds ``name``, the wave of each row: one more than that of the key it names, 0 where none in ``rows`` has that key.
+
+    Of rows that share a key the smallest parent places the key; the others follow their own parents.  The link
+    that opens a cycle, and a row that names itself, wait for nothing: such rows are in wave 0.
+    """
+    as_text = rows.select(F.col(key).cast("string").alias("id"), F.col(parent).cast("string").alias("parent"))
+    links, seen = cut(as_text.where(has_key("id")).groupBy("id").agg(
+        F.min(F.nullif("parent", F.lit(""))).alias("parent")), "wave-links")
+    found = row_waves(links, "id", "parent")
+    waves, _ = cut(found.waves, "wave-places")
+    dropped, opened = cut(found.dropped, "wave-dropped")
+    placed = rows.withColumns({"_own": F.col(key).cast("string"), "_up": F.col(parent).cast("string")})
+    placed = lookup_join(placed, waves.select(F.col("id").alias("_up"), F.col("wave").alias("_above")), ["_up"],
+                         right_rows=seen["rows"])
+    free = F.col("_up").eqNullSafe(F.col("_own"))
+    if opened["rows"]:
+        placed = lookup_join(placed, dropped.select(F.col("id").alias("_own"), F.col("parent").alias("_opened")), ["_own"],
+                             right_rows=opened["rows"])
+        free = free | F.coalesce(F.col("_opened") == F.col("_up"), F.lit(False))
+    wave = F.when(free, F.lit(0)).otherwise(F.coalesce(F.col("_above") + 1, F.lit(0))).cast("int")
+    return placed.withColumn(name, wave).select(*rows.columns, name)

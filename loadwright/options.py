@@ -23,3 +23,7 @@ class PlanOptions:
     teardown: bool = False
     dictionary: bool = False
     diagram: bool = False
+    # Buckets of a new key map; as many as the session has shuffle partitions if not given.
+    key_map_buckets: int | None = None
+    # Rows of one table that wait for more than this many others, one after the other, are loaded together.
+    most_waves: int = 1000

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loadwright.functions.types import spark_type
-from loadwright.operators.keymap import merge_key_map
-from loadwright.operators.skew import hot_hashes
+from loadwright.operators.skew import hot_hashes, lookup_join
 from loadwright.operators.staging import StagedColumn
+from loadwright.sources.commits import (APPEND, PART, PARTS, REPLACE, Entry, columns_of, commit, field_list, live_folders,
+                                        newest, version_store)
 
 # How a staging table is prepared before rows are appended.
 DROP_AND_RECREATE, CREATE_IF_MISSING = "drop_recreate", "create_if_missing"
@@ -35,12 +38,6 @@ def write_staging(df: DataFrame, name: str, columns: Sequence[StagedColumn],
     return spark.table(name)
 
 
-def _version_root(spark: SparkSession, name: str) -> str:
-    database, _, table = name.rpartition(".")
-    home = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
-    return f"{home.rstrip('/')}/{table.lower()}_versions"
-
-
 def _same_shape(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` in the column order of the stored table, which gets the columns that are new."""
     stored = {f.name.lower(): f for f in spark.table(name).schema}
@@ -56,53 +53,172 @@ def _same_shape(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return df.select(*(given[key].name for key in stored), *(f.name for f in added))
 
 
-def publish(df: DataFrame, name: str) -> DataFrame:
+def _write_version(df: DataFrame, name: str, folder: str, key: str | None, buckets: int | None) -> int:
+    """Write ``df`` into a folder beside the versions of ``name``, bucketed where asked for; returns the rows."""
+    spark = df.sparkSession
+    path = f"{version_store(spark, name).root}/{folder}"
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if buckets:
+        database = name.rpartition(".")[0]
+        # files of a bucketed table can only be written through the catalog; dropping the name leaves them
+        helper = f"{database + '.' if database else ''}writing_{folder}"
+        spark.sql(f"CREATE TABLE {helper} ({field_list(columns_of(df))}) USING parquet "
+                  f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+        try:
+            counted.repartitionById(buckets, F.pmod(F.hash(key), F.lit(buckets))).write.insertInto(helper)
+        finally:
+            spark.sql(f"DROP TABLE {helper}")
+    else:
+        counted.write.parquet(path)
+    return _reported(seen, "rows")
+
+
+def _reported(seen: Observation, what: str) -> int:
+    try:
+        return seen.get.get(what) or 0
+    except Py4JJavaError:  # the planner found at run time that there are no rows, and dropped the observer with them
+        return 0
+
+
+def publish(df: DataFrame, name: str, key: str | None = None, buckets: int | None = None) -> DataFrame:
     """Replace the content of table ``name``: write a new version, then switch to it.
 
     Versions lie below the location of the database, so they outlive the application and its
     intermediate results.  ``df`` may read the table itself.  The old version stays where it is,
     so readers that have started are not disturbed; ``remove_old_versions`` deletes those.
+    With ``buckets`` a new table is bucketed by ``key``; a stored one keeps the buckets it has.
 
     Columns that the stored table lacks are added to it; a column that is missing or has
     another type fails, and nothing is written.
     """
     spark = df.sparkSession
-    path = f"{_version_root(spark, name)}/{uuid4().hex}"
-    exists = spark.catalog.tableExists(name)
-    if exists:
+    if spark.catalog.tableExists(name):
         df = _same_shape(spark, df, name)
-    df.write.parquet(path)
-    if exists:
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
-        spark.catalog.refreshTable(name)
-    else:
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+        last = newest(spark, name)[1] or {}
+        key, buckets = last.get("key"), last.get("buckets")
+    folder = uuid4().hex
+    rows = _write_version(df, name, folder, key, buckets)
+    commit(spark, name, lambda _: {"kind": REPLACE, "version": folder, "rows": rows, "columns": columns_of(df),
+                                   "key": key, "buckets": buckets})
     return spark.table(name)
 
 
+def stored_rows(spark: SparkSession, name: str) -> int | None:
+    """How many rows a published table has, by its commits."""
+    return (newest(spark, name)[1] or {}).get("rows")
+
+
 def remove_old_versions(spark: SparkSession, name: str, keep: int = 1) -> int:
-    """Delete all but the current version of a published table and the ``keep - 1`` newest others."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_version_root(spark, name))
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    current = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
-    others = [v for v in files.listStatus(root) if not current.endswith("/" + v.getPath().getName())]
-    old = sorted(others, key=lambda v: -v.getModificationTime())[keep - 1:]
-    for version in old:
-        files.delete(version.getPath(), True)
+    """Delete the folders that the current state of a published table does not use, but for the ``keep - 1`` newest."""
+    store = version_store(spark, name)
+    live = live_folders(spark, name)
+    ages = {folder: age for folder, age in store.ages().items() if folder not in live and not folder.startswith("_")}
+    old = sorted(ages, key=lambda folder: -ages[folder])[keep - 1:]
+    for folder in old:
+        store.delete(folder)
     return len(old)
 
 
-def accumulate_key_map(new: DataFrame, name: str) -> DataFrame:
-    """Add the unseen keys of ``new`` to the stored map; the default for key maps."""
+def _bucket_of(file: str) -> int | None:
+    found = re.search(r"_(\d{5})(?:\..*)?$", file)
+    return int(found[1]) if found else None
+
+
+def accumulate_key_map(new: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """Add the unseen keys of ``new`` to the stored map; the default for key maps.
+
+    A new map gets ``buckets`` buckets by legacy_key, as many as the session has shuffle partitions if not given.
+    Unseen keys are appended: of the stored files only those in buckets that ``new`` has keys for are read, and
+    none is written again.  Two runs that add at the same time both keep all their keys; of a key that both add
+    the first stays.  ``new`` is read again when another run comes first, so it should be a written frame, unique on
+    its key.
+    """
     spark = new.sparkSession
-    if not spark.catalog.tableExists(name):
-        return publish(new, name)
-    return publish(merge_key_map(spark.table(name), new), name)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def build(last: Entry | None) -> Entry | None:
+        folder = uuid4().hex
+        if last is None:
+            rows = _write_version(new, name, folder, "legacy_key", buckets)
+            return {"kind": REPLACE, "version": folder, "rows": rows, "columns": columns_of(new), "key": "legacy_key",
+                    "buckets": buckets}
+        store = version_store(spark, name)
+        stored = [f for f in store.names(last["version"]) if f.endswith(".parquet")]
+        key, n = last.get("key"), last.get("buckets")
+        if n:
+            touched = {r[0] for r in new.select(F.pmod(F.hash("legacy_key"), F.lit(n)).alias("b")).distinct().collect()}
+            stored = [f for f in stored if _bucket_of(f) in touched]
+        paths = [f"{store.root}/{last['version']}/{f}" for f in stored]
+        unseen = new
+        if paths:
+            known = spark.read.schema("legacy_key STRING").parquet(*paths)
+            unseen = lookup_join(new, known, ["legacy_key"], "left_anti")
+        widened = _same_shape(spark, _filled(unseen, spark.table(name)), name)
+        added = _write_version(widened, name, folder, key, n)
+        if not added:
+            store.delete(folder)
+            return None
+        files = [f for f in store.names(folder) if f.endswith(".parquet")]
+        return last | {"kind": APPEND, "staged": folder, "files": files, "rows": last["rows"] + added,
+                       "columns": columns_of(widened)}
+
+    commit(spark, name, build)
+    return spark.table(name)
+
+
+def _filled(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """``df`` with nulls for columns that only the stored table has."""
+    given = {c.lower() for c in df.columns}
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in stored.schema if f.name.lower() not in given})
+
+
+def rebuild_key_map(new: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """Replace the stored map, ids accumulated in earlier runs included; also joins the files that runs have added."""
+    return publish(new, name, "legacy_key", buckets or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def add_parts(df: DataFrame, name: str, batch: str, open_rows: Column | None = None, whole: bool = False) -> tuple[DataFrame, int]:
+    """Append ``df`` to a table of parts, one for each task that writes, named by ``batch``; ``whole`` drops all others.
+
+    Returns the rows of the batch, with ``part``, and for how many of them ``open_rows`` holds.
+    """
+    spark = df.sparkSession
+    marked = df.withColumn(PART, F.concat(F.lit(f"{batch}-"), F.lpad(F.spark_partition_id().cast("string"), 6, "0")))
+    folder, n_open = _write_parts(marked, name, open_rows)
+    parts = _parts_in(spark, name, folder)
+    commit(spark, name, lambda _: {"kind": PARTS, "columns": columns_of(df), "parts": parts, "whole": whole})
+    return spark.table(name).where(F.startswith(PART, F.lit(f"{batch}-"))), n_open
+
+
+def rewrite_parts(name: str, spark: SparkSession, parts: Sequence[str], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the named parts again with their rows changed; all other parts keep their files.
+
+    When another run commits meanwhile, the rows are read and changed again.
+    """
+    def build(last: Entry | None) -> Entry:
+        rows = spark.table(name).where(F.col(PART).isin(list(parts)))
+        changed = change(rows)
+        folder, _ = _write_parts(changed.repartition(PART), name, None)
+        return {"kind": PARTS, "columns": columns_of(changed.drop(PART)), "parts": _parts_in(spark, name, folder)}
+
+    if parts:
+        commit(spark, name, build)
+
+
+def _write_parts(df: DataFrame, name: str, open_rows: Column | None) -> tuple[str, int]:
+    spark, folder = df.sparkSession, uuid4().hex
+    if spark.catalog.tableExists(name):
+        df = _same_shape(spark, _filled(df, spark.table(name)), name)
+    seen = Observation()
+    marked = df.observe(seen, F.count_if(F.lit(False) if open_rows is None else open_rows).alias("open"))
+    marked.write.partitionBy(PART).parquet(f"{version_store(spark, name).root}/{folder}")
+    return folder, _reported(seen, "open")
 
 
-def rebuild_key_map(new: DataFrame, name: str) -> DataFrame:
-    """Replace the stored map, ids accumulated in earlier runs included."""
-    return publish(new, name)
+def _parts_in(spark: SparkSession, name: str, folder: str) -> dict[str, str]:
+    found = [f for f in version_store(spark, name).names(folder) if f.startswith(f"{PART}=")]
+    return {f.split("=", 1)[1]: f"{folder}/{f}" for f in found}
 
 
 class Clustered(NamedTuple):
@@ -169,5 +285,4 @@ def teardown(spark: SparkSession, tables: Iterable[str], key_maps: Iterable[str]
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     for name in key_maps:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        root = spark._jvm.org.apache.hadoop.fs.Path(_version_root(spark, name))
-        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+        version_store(spark, name).delete("")
