@@ -127,6 +127,21 @@ COMPONENTS = (
 GRAPH_NAMES = ("b_x", "bx", "Ba", "c", "c_1", "cz", "d")
 
 
+# Tables of a shop as (logical name, attributes), these as (name, type, targets).
+SHOP_TABLES = (
+    ("region", (("r_regionkey", "String", None), ("r_name", "String", None))),
+    ("nation", (("n_nationkey", "String", None), ("n_name", "String", None), ("n_regionkey", "Lookup", ("region",)))),
+    ("customer", (("c_custkey", "String", None), ("c_name", "String", None), ("c_nationkey", "Lookup", ("nation",)),
+                  ("c_first", "Lookup", ("orders",)))),
+    ("supplier", (("s_suppkey", "String", None), ("s_nationkey", "Lookup", ("nation",)))),
+    ("orders", (("o_orderkey", "String", None), ("o_custkey", "Lookup", ("customer",)), ("o_orderdate", "DateTime", None),
+                ("o_before", "Lookup", ("orders",)))),
+    ("events", (("event_id", "String", None), ("owner", "Customer", ("customer", "supplier")),
+                ("ts", "DateTime", None))),
+)
+SHOP_KEYS = "r_regionkey, n_nationkey, c_custkey, s_suppkey, o_orderkey, event_id"
+
+
 def literal(value) -> str:
     """A value as a literal both SQL dialects read."""
     if value is None:
@@ -210,6 +225,29 @@ def case_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1.0").alias("introduced_version"), attributes.alias("attributes"))
 
 
+def shop_documents(spark: SparkSession, sf_dir: str) -> str:
+    """The catalog of a shop in every region, exported as JSON lines; returns where it lies."""
+    fields = ("logical_name: STRING, attrs: ARRAY<STRUCT<logical_name: STRING, attr_type: STRING, targets: ARRAY<STRING>>>")
+
+    def attribute(name, kind, targets):
+        listed = "NULL" if targets is None else f"array({', '.join(map(literal, targets))})"
+        return f"struct({literal(name)}, {literal(kind)}, {listed})"
+
+    tables = ", ".join(
+        f"struct({literal(t)}, array({', '.join(attribute(*a) for a in attrs)}))" for t, attrs in SHOP_TABLES)
+    rows = read(spark, sf_dir, "region").select(
+        F.trim("r_name").alias("org_key"), F.expr(f"inline(CAST(array({tables}) AS ARRAY<STRUCT<{fields}>>))"))
+    attributes = F.expr("""transform(attrs, a -> struct(concat_ws('|', org_key, logical_name, a.logical_name) AS attribute_id,
+        a.logical_name, a.attr_type, 100 AS max_length, a.targets, a.logical_name AS display_name, true AS is_custom))""")
+    path = new_path(spark, "shops")
+    rows.select(
+        "org_key", F.concat_ws("|", "org_key", "logical_name").alias("entity_id"), "logical_name",
+        F.initcap("logical_name").alias("schema_name"), F.col("logical_name").alias("display_name"),
+        F.concat("logical_name", F.lit("id")).alias("primary_id"), F.lit("name").alias("primary_name"),
+        F.lit(False).alias("is_intersect"), attributes.alias("attributes")).write.json(path)
+    return path
+
+
 def case_documents(spark: SparkSession, sf_dir: str) -> str:
     """The snapshot exported as JSON lines; returns where it lies."""
     path = new_path(spark, "snapshot")

@@ -231,6 +231,44 @@ def _loaded_lookups() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _catalog_load() -> str:
+    """Lookups of the loaded shop, the dictionary of every region's shop, and the kinds of output that were asked for."""
+    def link(table: str, key: str, column: str, value: str, target: str, found: str, rows: str) -> str:
+        return (f"SELECT '{table}' AS name, CAST({key} AS VARCHAR) AS row_key, '{column}' AS item, "
+                f"md5({target} || '|' || CAST({found} AS VARCHAR)) AS value, CASE WHEN {value} IS NULL THEN 'empty' "
+                f"WHEN {found} IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM {rows}")
+
+    first = ("(SELECT o_custkey AS k, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS c_first FROM orders GROUP BY o_custkey)")
+    before = ("(SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS o_before "
+              "FROM orders)")
+    owner = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'customer' ELSE 'supplier' END"
+    parts = [
+        link("nation", "n_nationkey", "n_regionkey", "n_regionkey", "'region'", "r_regionkey",
+             "nation LEFT JOIN region ON n_regionkey = r_regionkey"),
+        link("customer", "c_custkey", "c_nationkey", "c_nationkey", "'nation'", "n_nationkey",
+             "customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
+        link("supplier", "s_suppkey", "s_nationkey", "s_nationkey", "'nation'", "n_nationkey",
+             "supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
+        link("customer", "c_custkey", "c_first", "c_first", "'orders'", "c_first", f"customer LEFT JOIN {first} ON c_custkey = k"),
+        link("orders", "o_orderkey", "o_custkey", "o_custkey", "'customer'", "c_custkey",
+             "orders LEFT JOIN customer ON o_custkey = c_custkey"),
+        link("orders", "o_orderkey", "o_before", "o_before", "'orders'", "o_before", before),
+        link("events", "event_id", "owner", "user_id", owner,
+             f"CASE WHEN {owner} = 'customer' THEN c_custkey ELSE s_suppkey END",
+             "events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN supplier ON user_id = s_suppkey"),
+    ]
+    # How the types of the shop's attributes are staged.
+    kinds = {"String": "NVARCHAR(100)", "Lookup": "NVARCHAR(100)", "Customer": "NVARCHAR(100)", "DateTime": "DATETIME2(7)"}
+    columns = [(t, a, kinds[kind], ", ".join(targets) if targets else None) for t, attributes in fleet.SHOP_TABLES
+               for a, kind, targets in attributes]
+    columns.append(("events", "ownertype", "NVARCHAR(100)", None))
+    parts.append("SELECT name, trim(r_name) AS row_key, item, value, status FROM region, "
+                 + values(columns, "name, item, value, status"))
+    parts.append("SELECT unnest(['key_maps', 'truncate', 'dictionary']) AS name, NULL AS row_key, NULL AS item, NULL AS value, "
+                 "NULL AS status")
+    return " UNION ALL ".join(parts)
+
+
 def _counts_after_reset() -> str:
     parts = []
     for table, (names, _) in LOADS.items():
@@ -619,6 +657,41 @@ ORACLE: dict[str, str] = {
                CASE WHEN o_custkey % 2 = 0 OR (o_custkey % 10 != 0 AND c_custkey IS NOT NULL)
                     THEN 'resolved' ELSE 'unresolved' END AS o_custkey_status
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "deferred_over_runs": f"""
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+               {_md5('customer', 'c_custkey')} AS o_custkey_id,
+               CASE WHEN o_custkey IS NULL THEN 'empty' WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'resolved' END
+                 AS o_custkey_status
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "wave_load_orders": f"""
+        WITH chained AS (
+          SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER w AS before, last_value(o_orderkey) OVER (
+                   PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
+          FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+        linked AS (
+          SELECT o_orderkey, o_custkey, coalesce(before, CASE WHEN o_custkey % 10 = 0 THEN last END) AS parent,
+                 min(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey) AS opened
+          FROM chained)
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(parent AS VARCHAR) AS parent,
+               CASE WHEN o_custkey % 10 <> 0 OR CAST(o_orderkey AS VARCHAR) <> opened
+                    THEN {_md5('orders', 'parent')} END AS first_id,
+               {_md5('orders', 'parent')} AS parent_id,
+               CASE WHEN parent IS NULL THEN 'empty' ELSE 'resolved' END AS parent_status,
+               {_md5('orders', 'o_orderkey')} AS target_id
+        FROM linked""",
+    "load_resumed": """
+        SELECT CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS legacy_key, c_name AS other,
+               count(*) AS n_loads, count(*) AS n_ids
+        FROM customer GROUP BY 1, 2
+        UNION ALL
+        SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END, CAST(o_custkey AS VARCHAR),
+               count(*), count(*)
+        FROM orders GROUP BY 1, 2""",
+    "key_map_incremental": f"""
+        SELECT {_md5('customer', 'c_custkey')} AS target_id, CAST(c_custkey AS VARCHAR) AS legacy_key, true AS as_expected
+        FROM customer""",
+    "catalog_load": _catalog_load(),
     "reset_keeps_key_maps": _counts_after_reset(),
     "clustered_resolve": RESOLVED_ORDERS,
     "row_waves_orders": """

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
+from dataclasses import replace
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +24,10 @@ from loadwright.operators.staging import StagedColumn, split_rejects, stage_rows
 from loadwright.operators.waves import row_waves
 from loadwright.options import PlanOptions
 from loadwright.plans.batches import load_batches, load_order, plan_summary
+from loadwright.plans.migrate import plan_migration, run_migration, table_loads, write_outputs
 from loadwright.plans.run import TableLoad, run_plan
 from loadwright.plans.scripts import KEY_MAP, STAGING, create_statements, diagram_lines, reset_statements
-from loadwright.sources.scratch import settle
+from loadwright.sources.scratch import cut, new_path, settle
 from loadwright.sources.snapshots import attribute_targets, flatten_snapshot, read_snapshot
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map,
                                        clustered_lookup, cluster_by_match_key, rebuild_key_map, remove_old_versions,
@@ -588,6 +593,119 @@ def deferred_update_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("first_order_id").alias("resolved_id"), F.col("first_order_status").alias("status")))
 
 
+def ringed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order refers to the customer's one before; those of every tenth customer close to a ring."""
+    chained = _chained_orders(spark, sf_dir)
+    last = chained.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last"))
+    return chained.join(last, "o_custkey").select(
+        "o_orderkey", F.coalesce("parent", F.when(F.col("o_custkey") % 10 == 0, F.col("last"))).alias("parent"))
+
+
+def wave_load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders loaded in waves along the orders they refer to; ``first_id`` is what the target was given."""
+    plan = _one_plan(spark, TPCH_EDGES, ("orders",))
+    job = TableLoad(ringed_chains(spark, sf_dir), _columns(["o_orderkey", "parent"]), "o_orderkey",
+                    lambda rows: rows.withColumns({"target_id": target_id("orders", "o_orderkey"), "first_id": F.col("parent_id")}),
+                    {"parent": "orders"})
+    done = run_plan(spark, plan.tiers, plan.dropped, {"orders": job}, fleet.new_database(spark))
+    return done.loaded["orders"].select("o_orderkey", "parent", "first_id", "parent_id", "parent_status", "target_id")
+
+
+class Ended(RuntimeError):
+    """A run that is ended on purpose."""
+
+
+def load_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and orders, every seventh without a key, loaded by a run that ends before orders, goes on, and is followed
+    by another: how often the target was given each row.
+    """
+    plan = _one_plan(spark, TPCH_EDGES, ("customer", "orders"))
+    database, received = fleet.new_database(spark), new_path(spark, "received")
+    ended = [True]
+
+    def load(table: str, key: str, other: str):
+        def send(rows: DataFrame) -> DataFrame:
+            if table == "orders" and ended[0]:
+                raise Ended(table)
+            named = rows.withColumn("target_id", F.when(F.col(key).isNull(), F.md5("source_row")).otherwise(target_id(table, key)))
+            path = f"{received}/table={table}/{uuid4().hex}"
+            named.select("target_id", F.col(key).alias("legacy_key"), F.col(other).alias("other")).write.parquet(path)
+            return named
+        return send
+
+    loads = {}
+    for table, key, other in (("customer", "c_custkey", "c_name"), ("orders", "o_orderkey", "o_custkey")):
+        rows = read(spark, sf_dir, table)
+        keyless = rows.withColumn(key, F.when(F.col(key) % 7 != 0, F.col(key)))
+        loads[table] = TableLoad(keyless, _columns([key, other]), key, load(table, key, other),
+                                 {other: "customer"} if table == "orders" else {})
+    with suppress(Ended):
+        run_plan(spark, plan.tiers, plan.dropped, loads, database, run_id="first")
+    ended[0] = False
+    run_plan(spark, plan.tiers, plan.dropped, loads, database, run_id="first")
+    run_plan(spark, plan.tiers, plan.dropped, loads, database, run_id="second")
+    return spark.read.parquet(f"{received}/*/*").groupBy("legacy_key", "other").agg(
+        F.count(F.lit(1)).alias("n_loads"), F.count_distinct("target_id").alias("n_ids"))
+
+
+def key_map_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of most customers, then keys of one bucket in eight: which rows lie in a file that was there before."""
+    name = f"{fleet.new_database(spark)}.guid_customer"
+    entries = loaded(spark, sf_dir, "customer", "c_custkey").select(
+        "target_id", F.col("c_custkey").cast("string").alias("legacy_key"))
+    few = (F.col("legacy_key").cast("long") % 100 == 7) & (F.pmod(F.hash("legacy_key"), F.lit(32)) % 8 == 0)
+    first = accumulate_key_map(entries.where(~few), name, 32)
+    old, _ = cut(first.select(F.col("_metadata.file_name").alias("file")).distinct(), "old-files")
+    merged = accumulate_key_map(entries.where(few), name)
+    # one row for each file
+    return merged.select("*", F.col("_metadata.file_name").alias("file")).join(
+        F.broadcast(old.withColumn("is_old", F.lit(True))), "file", "left").select(
+        "target_id", "legacy_key", F.when(few, F.col("is_old").isNull()).otherwise(F.col("is_old")).alias("as_expected"))
+
+
+def deferred_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and even customers in one run, the other customers in the next: every link is filled then."""
+    plan = _one_plan(spark, TPCH_EDGES, ("customer", "orders"))
+    database = fleet.new_database(spark)
+    customers, orders = read(spark, sf_dir, "customer"), _table_load(spark, sf_dir, "orders")
+    first = replace(_table_load(spark, sf_dir, "customer"), source=customers.where("c_custkey % 2 = 0"))
+    run_plan(spark, plan.tiers, plan.dropped, {"customer": first, "orders": orders}, database)
+    second = replace(first, source=customers.where("c_custkey % 2 = 1"))
+    none = replace(orders, source=orders.source.where("false"))
+    run_plan(spark, plan.tiers, plan.dropped, {"customer": second, "orders": none}, database)
+    return spark.table(f"{database}.loaded_orders").select(
+        "o_orderkey", "o_custkey", "o_custkey_id", "o_custkey_status")
+
+
+def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the documents of a shop in every region to loaded rows of the one in ASIA, its outputs and the dictionary."""
+    options = PlanOptions(match_key_suffixes=fleet.SHOP_KEYS, staging=False, truncate=True, dictionary=True)
+    catalog = flatten_snapshot(read_snapshot(spark, fleet.shop_documents(spark, sf_dir)))
+    plan = plan_migration(catalog, options=options)
+    out = new_path(spark, "outputs")
+    written = write_outputs(plan, out, options)
+    first = with_first_order(spark, sf_dir).withColumnRenamed("first_order", "c_first")
+    chained = previous_in_group(read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"),
+                                ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "o_before")
+    events = read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("owner"), F.when(
+        F.col("event_type").isin("purchase", "signup"), "Customer").otherwise("supplier").alias("ownertype"))
+    sources = {t: read(spark, sf_dir, t) for t in ("region", "nation", "supplier")} | {
+        "customer": first, "orders": chained, "events": events}
+    loads = table_loads(plan, "ASIA", sources, lambda table, key: lambda rows: rows.withColumn("target_id", target_id(table, key)),
+                        options)
+    done = run_migration(spark, plan, "ASIA", loads, fleet.new_database(spark), options)
+    parts = [
+        done.loaded[table].select(F.lit(table).alias("name"), F.col(job.match_key).alias("row_key"), F.lit(column).alias("item"),
+                                  F.col(f"{column}_id").alias("value"), F.col(f"{column}_status").alias("status"))
+        for table, job in loads.items() for column in (*job.lookups, *job.polymorphic)]
+    listed = spark.read.option("header", True).csv(f"{out}/dictionary/columns")
+    parts.append(listed.select(F.col("table").alias("name"), F.col("org_key").alias("row_key"), F.col("name").alias("item"),
+                               F.col("sql_type").alias("value"), F.col("lookup_target").alias("status")))
+    parts.append(spark.sql(f"SELECT explode(array({', '.join(map(fleet.literal, written))})) AS name").select(
+        "name", *(F.lit(None).cast("string").alias(c) for c in ("row_key", "item", "value", "status"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def deferred_update_keeps_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of even customers were resolved before, under ids of an earlier run."""
     loaded_orders = read(spark, sf_dir, "orders").select(
@@ -733,6 +851,11 @@ QUERIES: dict[str, Query] = {
     "polymorphic_load": polymorphic_load,
     "deferred_update": deferred_update_query,
     "deferred_update_keeps_ids": deferred_update_keeps_ids,
+    "deferred_over_runs": deferred_over_runs,
+    "wave_load_orders": wave_load_orders,
+    "load_resumed": load_resumed,
+    "key_map_incremental": key_map_incremental,
+    "catalog_load": catalog_load,
     "reset_keeps_key_maps": reset_keeps_key_maps,
     "clustered_resolve": clustered_resolve,
     "row_waves_orders": row_waves_orders,
