@@ -51,12 +51,22 @@ def build_key_map(target_rows: DataFrame, id_col: str, match_key: str, carried:
     best, seen = cut(_best(rows, carried), "key-map", shared=F.count_if(is_shared))
     entries = best.select("_best.target_id", "legacy_key", *(f"_best.{c}" for c in carried))
     winners = best.where(is_shared).select("legacy_key", F.col("_best.target_id").alias("kept_id"))
-    losers = lookup_join(rows.where(F.col("legacy_key").isNotNull()), winners, ["legacy_key"], "inner",
-                         right_rows=seen["shared"]).where(F.col("target_id") != F.col("kept_id"))
-    conflicts = losers.select("target_id", "legacy_key", "kept_id", F.lit("duplicate").alias("reason")).unionByName(
+    return KeyMap(entries, _left_out(rows, winners, seen["shared"]))
+
+
+def _left_out(rows: DataFrame, kept: DataFrame, n_kept: int | None) -> DataFrame:
+    losers = lookup_join(rows.where(F.col("legacy_key").isNotNull()), kept, ["legacy_key"], "inner",
+                         right_rows=n_kept).where(F.col("target_id") != F.col("kept_id"))
+    return losers.select("target_id", "legacy_key", "kept_id", F.lit("duplicate").alias("reason")).unionByName(
         rows.where(F.col("legacy_key").isNull()).select(
             "target_id", "legacy_key", F.lit(None).cast("string").alias("kept_id"), F.lit("missing").alias("reason")))
-    return KeyMap(entries, conflicts)
+
+
+def key_map_conflicts(target_rows: DataFrame, id_col: str, match_key: str, entries: DataFrame,
+                      n_entries: int | None = None) -> DataFrame:
+    """The rows that a given map leaves out: as the conflicts of ``build_key_map``, whichever row of a key the map has."""
+    kept = entries.select("legacy_key", F.col("target_id").alias("kept_id"))
+    return _left_out(_keyed(target_rows, id_col, match_key, ()), kept, n_entries)
 
 
 def merge_key_map(existing: DataFrame, new: DataFrame) -> DataFrame:

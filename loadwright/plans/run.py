@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadwright.operators.identity import has_key, with_row_identity
-from loadwright.operators.keymap import build_key_map, key_map_entries
+from loadwright.operators.keymap import build_key_map, key_map_conflicts, key_map_entries
 from loadwright.operators.pending import is_open, open_links, parts_to_fill
 from loadwright.operators.resolve import (deferred_polymorphic, deferred_update, link_status,
                                           resolve_lookups, resolve_polymorphic)
@@ -169,7 +169,7 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
             done.loaded[table] = spark.table(loaded_name).where(F.startswith(PART, F.lit(f"{run}-")))
             done.rejects[table] = spark.table(rejects_name)
             done.key_maps[table] = spark.table(map_name(table))
-            done.conflicts[table] = build_key_map(done.loaded[table], "target_id", key).conflicts
+            done.conflicts[table] = key_map_conflicts(done.loaded[table], "target_id", key, done.key_maps[table], size(table))
             return
         wanted = {c.name.lower() for c in job.columns} | {key.lower()}
         source = job.source.select(*(c for c in job.source.columns if c.lower() in wanted))
@@ -212,7 +212,10 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
             found = build_key_map(loaded, "target_id", key)
             remember(loaded, table, found.entries, keyless)
         done.loaded[table] = spark.table(loaded_name).where(F.startswith(PART, F.lit(f"{run}-")))
-        done.conflicts[table] = build_key_map(done.loaded[table], "target_id", key).conflicts if links else found.conflicts
+        # of a table that is loaded in waves, or in two goes, the map has the row that came first
+        whole = not links and (table, "staged") not in finished
+        done.conflicts[table] = found.conflicts if whole else key_map_conflicts(
+            done.loaded[table], "target_id", key, done.key_maps[table], size(table))
         finish(table, "loaded", loaded_name)
 
     def _load_waves(table: str, rows: DataFrame, links: list[str], batch: str, keyless: bool, fresh: bool) -> None:

@@ -43,7 +43,9 @@ def _same_shape(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     stored = {f.name.lower(): f for f in spark.table(name).schema}
     given = {f.name.lower(): f for f in df.schema}
     lost = [f.name for key, f in stored.items() if key not in given]
-    other = [f.name for key, f in stored.items() if key in given and given[key].dataType != f.dataType]
+    # whether inner fields may be null does not matter
+    other = [f.name for key, f in stored.items()
+             if key in given and given[key].dataType.simpleString() != f.dataType.simpleString()]
     if lost or other:
         raise ValueError(f"{name} would lose columns {lost} and change the type of {other}")
     added = [f for key, f in given.items() if key not in stored]

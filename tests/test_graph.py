@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadwright.operators.graph import cycle_warnings, dependency_diagram_edges, load_tiers
 from loadwright.plans.batches import load_batches, plan_summary
@@ -109,6 +110,55 @@ def test_shuffled_path_gives_the_same(spark, monkeypatch):
         assert (tiers[org], dropped.get(org, set())) == expected[org]
 
 
+@pytest.mark.parametrize("most", [0, 4])
+def test_large_environments_give_the_same(spark, monkeypatch, most):
+    from loadwright.operators import graph
+
+    graphs = random_graphs(150, 5)
+    # a core of two rings and a hub, with many alike around it
+    graphs["star"] = (["hub", "a", "b", "c"] + [f"t{i:03}" for i in range(300)] + [f"s{i:03}" for i in range(300)],
+                      ["a b", "b a", "a hub", "b c", "c b"] + [f"t{i:03} hub" for i in range(300)]
+                      + [f"c s{i:03}" for i in range(300)] + [f"t{i:03} s{i % 2:03}" for i in range(300)])
+    tables, edges, whole = plan(spark, graphs)
+    want = collected(whole), sorted(map(tuple, whole.dropped.collect()))
+    core = graph._ordered_cores
+    monkeypatch.setattr(graph, "MOST_TABLES", most)
+
+    def unchecked(*frames):
+        monkeypatch.setattr(graph, "MOST_TABLES", 100)
+        return core(*frames)
+
+    monkeypatch.setattr(graph, "_ordered_cores", unchecked)
+    result = load_tiers(tables, edges)
+    assert (collected(result), sorted(map(tuple, result.dropped.collect()))) == want
+
+
+def test_one_hub_of_many_tables_is_no_row(spark, monkeypatch):
+    from loadwright.operators import graph
+
+    gathered = []
+    ordered = graph._ordered
+    monkeypatch.setattr(graph, "_ordered", lambda m, p: gathered.append((m, p)) or ordered(m, p))
+    n = 200_000
+    names = spark.range(n).select(F.lit("o").alias("org_key"), F.concat(F.lit("t"), "id").alias("table"))
+    tables = names.union(spark.createDataFrame([("o", "hub"), ("o", "ring")], "org_key string, table string"))
+    edges = names.select("org_key", F.col("table").alias("src"), F.lit("hub").alias("dst")).union(
+        spark.createDataFrame([("o", "hub", "ring"), ("o", "ring", "hub")], "org_key string, src string, dst string"))
+    result = load_tiers(tables, edges)
+    assert [m.where("org_key = 'o'").count() for m, _ in gathered] == [0, 3]
+    assert {(r.tier, r["count"]) for r in result.tiers.groupBy("tier").count().collect()} == {(0, 1), (1, n + 1)}
+    assert [tuple(r)[:3] for r in result.dropped.collect()] == [("o", "hub", "ring")]
+
+
+def test_core_that_is_too_large_is_named(spark, monkeypatch):
+    from loadwright.operators import graph
+
+    monkeypatch.setattr(graph, "MOST_TABLES", 5)
+    ring = [f"r{i}" for i in range(8)]
+    with pytest.raises(ValueError, match="environment vast: 8 tables"):
+        plan(spark, {"vast": (ring, [f"r{i} r{(i + 1) % 8}" for i in range(8)]), "small": (["a"], ["a b"])})
+
+
 def test_order_of_rows_does_not_matter(spark):
     graphs = random_graphs(40, 3)
     turned = {o: (list(reversed(t)), list(reversed(e))) for o, (t, e) in reversed(graphs.items())}

@@ -1,6 +1,7 @@
 """Runs that load wave by wave, go on after an end, fill links of earlier runs, and share key maps."""
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import pytest
 from pyspark import inheritable_thread_target
@@ -102,6 +103,20 @@ def test_chain_of_fifty_and_ring_load_in_waves(spark, database, tmp_path):
     assert spark.table(f"{database}.pending_emp").count() == 0
 
 
+def test_conflicts_of_waves_name_the_row_in_the_map(spark, database, tmp_path):
+    data = [("a", None), ("b", "a"), ("c", "b"), ("c", None), (None, "c")]
+    target, p = Target(spark, tmp_path), plan(spark, "emp")
+    emp = job(people(spark, data), target, "emp", {"boss": "emp"})
+
+    def load(df):  # later waves have the smaller ids
+        return df.withColumn("target_id", F.concat_ws("-", F.when(F.col("boss").isNull(), "z").otherwise("m"), "k", "boss"))
+
+    done = run(spark, database, p, {"emp": replace(emp, load=load)})
+    assert rows(spark.table(f"{database}.guid_emp").where("legacy_key = 'c'"), "target_id") == {("z-c",): 1}
+    assert rows(done.conflicts["emp"], "target_id", "kept_id", "reason") == {
+        ("m-c-b", "z-c", "duplicate"): 1, ("m-c", None, "missing"): 1}
+
+
 def test_waves_beyond_the_most_are_loaded_together(spark, database, tmp_path):
     chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(9)]
     target, p = Target(spark, tmp_path), plan(spark, "emp")
@@ -302,3 +317,27 @@ def test_publish_keeps_readers_and_buckets(spark, database):
     publish(spark.table(name).where("legacy_key < 'k3'"), name)
     assert newest(spark, name)[1]["buckets"] == 4 and started.count() == 50
     assert spark.table(name).count() < 50
+
+
+def test_stored_maps_are_not_shuffled_in_a_run(spark, database, tmp_path, monkeypatch):
+    """Beyond the size of a broadcast, the resolution join of a run moves the staged rows only."""
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    plans = []
+    target = Target(spark, tmp_path)
+    p = plan(spark, "dept", "emp", edges=[("emp", "dept")])
+    dept = spark.range(300).selectExpr("concat('d', id) AS k")
+    emp = spark.range(3000).selectExpr("concat('e', id) AS k", "concat('d', id % 400) AS dept")
+
+    def seen(df):
+        plans.append(plan_of(df))
+        return target.loader("emp", "k")(df)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        done = run(spark, database, p, {"dept": job(dept, target, "dept"), "emp": replace(
+            job(emp, target, "emp", {"dept": "dept"}), load=seen)})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("SortMergeJoin") == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    assert "SelectedBucketsCount" in plans[0] or "Bucketed: true" in plans[0]
+    assert done.loaded["emp"].where("dept_id IS NOT NULL").count() == sum(i % 400 < 300 for i in range(3000))

@@ -702,4 +702,10 @@ ORACLE: dict[str, str] = {
         FROM orders""",
     "row_waves_dropped": "SELECT o_orderkey, o_orderkey + 1 AS parent FROM orders WHERE o_orderkey % 5 = 0",
     "staged_profile": _profile(),
+    "profile_of_loads": f"""SELECT name, n_rows, n_null, max_length, true AS "close" FROM ({_profile()})""",
+    "replan_changed": """
+        SELECT CAST(s_suppkey AS VARCHAR) AS org_key,
+               CASE WHEN s_suppkey % 10 = 0 THEN 'NVARCHAR(300)' ELSE 'NVARCHAR(200)' END AS sql_type,
+               CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 1 END AS planned
+        FROM supplier WHERE s_suppkey % 11 <> 0""",
 }

@@ -17,6 +17,7 @@ from loadwright.operators.dictionary import dictionary_columns, dictionary_index
 from loadwright.operators.graph import (LoadTiers, cycle_warnings, dependency_diagram_edges, dependency_edges,
                                         load_tiers)
 from loadwright.operators.keymap import build_key_map, key_map_entries
+from loadwright.operators.profile import column_sketches, combine_profiles
 from loadwright.operators.report import profile_staged, unresolved_report
 from loadwright.operators.resolve import deferred_update, resolve_lookups, resolve_polymorphic
 from loadwright.operators.skew import lookup_join, previous_in_group
@@ -25,13 +26,14 @@ from loadwright.operators.waves import row_waves
 from loadwright.options import PlanOptions
 from loadwright.plans.batches import load_batches, load_order, plan_summary
 from loadwright.plans.migrate import plan_migration, run_migration, table_loads, write_outputs
+from loadwright.plans.replan import replan
 from loadwright.plans.run import TableLoad, run_plan
 from loadwright.plans.scripts import KEY_MAP, STAGING, create_statements, diagram_lines, reset_statements
 from loadwright.sources.scratch import cut, new_path, settle
 from loadwright.sources.snapshots import attribute_targets, flatten_snapshot, read_snapshot
-from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map,
+from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map, add_parts,
                                        clustered_lookup, cluster_by_match_key, rebuild_key_map, remove_old_versions,
-                                       reset_staging,                                       write_staging)
+                                       reset_staging, write_staging)
 from workloads import fleet
 from workloads.fleet import read
 
@@ -298,6 +300,25 @@ def diagram_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram_lines(fleet.crm_entities(spark, sf_dir), batches, settle(edges)[0])
 
 
+def replan_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of every supplier's environment, then one of new documents: every tenth has a wider title, every eleventh is
+    gone.  Per environment, in which replanning it was planned, and what its title is staged as.
+    """
+    database, later = fleet.new_database(spark), new_path(spark, "later")
+    documents = fleet.case_documents(spark, sf_dir)
+    key = F.col("org_key").cast("long")
+    wider = F.expr("transform(attributes, a -> if(a.logical_name = 'x_title', named_struct("
+                   "'attribute_id', a.attribute_id, 'logical_name', a.logical_name, 'attr_type', a.attr_type, "
+                   "'attribute_of', a.attribute_of, 'max_length', 300, 'date_format', a.date_format, "
+                   "'is_multi_select', a.is_multi_select, 'targets', a.targets, 'display_name', a.display_name, "
+                   "'description', a.description, 'is_custom', a.is_custom), a))")
+    fleet.case_snapshot(spark, sf_dir).where(key % 11 != 0).withColumn(
+        "attributes", F.when(key % 10 == 0, wider).otherwise(F.col("attributes"))).write.json(later)
+    replan(spark, documents, database)
+    stored = replan(spark, later, database).frames["plan_staging"]
+    return stored.where("name = 'x_title'").select("org_key", "sql_type", "planned")
+
+
 # ---------------------------------------------------------------- data
 
 def target_id(table: str, key: str):
@@ -777,6 +798,20 @@ def staged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_staged(stage_orders(spark, sf_dir), dictionary)
 
 
+def profile_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders staged by three loads, profiled from the stored sketches of each; distinct values within 5 % of those counted."""
+    name = f"{fleet.new_database(spark)}.profiles"
+    staged = stage_orders(spark, sf_dir)
+    for i in range(3):
+        add_parts(column_sketches(staged.where(F.col("o_orderkey").cast("long") % 3 == i)), name, f"load{i}")
+    found = combine_profiles(spark.table(name)).select("name", "n_rows", "n_null", "n_distinct", "max_length")
+    exact = staged_profile(spark, sf_dir).select("name", F.col("n_distinct").alias("exact"))
+    # one row for each column on either side
+    return found.join(exact, "name").select(
+        "name", "n_rows", "n_null", "max_length",
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the id of their customer, and the tier in which the plan loads them."""
     plan = load_batches(_one_plan(spark, TPCH_EDGES).tiers)
@@ -863,4 +898,6 @@ QUERIES: dict[str, Query] = {
     "row_waves_cycles": row_waves_cycles,
     "row_waves_dropped": row_waves_dropped,
     "staged_profile": staged_profile,
+    "profile_of_loads": profile_of_loads,
+    "replan_changed": replan_changed,
 }
