@@ -40,7 +40,7 @@ _known = _Hashes()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(_known.__getitem__, words)), np.uint64)
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def _rolling(h: np.ndarray, length: int) -> np.ndarray:
@@ -57,10 +57,16 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Equal windows have equal anchors, wherever they stand.
     """
-    shingles = _rolling(h, SHINGLE)
-    inside = np.lib.stride_tricks.sliding_window_view(shingles, WINDOW - SHINGLE + 1)
-    place = inside.argmin(axis=1) + np.arange(len(inside))
-    return place, shingles[place].view(np.int64)
+    shingles, width = _rolling(h, SHINGLE), WINDOW - SHINGLE + 1
+    n = len(shingles) - width + 1
+    least, span = shingles, 1
+    while 2 * span <= width:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[:n], least[width - span:width - span + n])
+    place = np.zeros(n, np.int64)
+    for i in range(width - 1, -1, -1):  # the first of equal ones is written last
+        np.copyto(place, i, where=shingles[i:i + n] == least)
+    return place + np.arange(n), least.view(np.int64)
 
 
 def _anchor_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,6 +133,29 @@ class WaveletMatrix:
         return at
 
 
+def _joined(rank: np.ndarray, times: int, step: int) -> np.ndarray:
+    """One number for the ranks of so many places, ``step`` apart; places beyond the end rank below all others."""
+    base = int(rank.max(initial=0)) + 2
+    out, values = rank + 1, base
+    for i in range(1, times):
+        if values * base >= 1 << 62:
+            out = _dense(out)
+            values = int(out.max(initial=0)) + 1
+        out = out * base
+        out[:max(len(rank) - i * step, 0)] += rank[i * step:] + 1
+        values *= base
+    return out
+
+
+def _dense(numbers: np.ndarray) -> np.ndarray:
+    """The numbers' ranks, from 0 without gaps."""
+    order = np.argsort(numbers)
+    ordered = numbers[order]
+    out = np.empty(len(numbers), np.int64)
+    out[order] = np.cumsum(ordered != np.concatenate([ordered[:1], ordered[:-1]]))
+    return out
+
+
 class FMIndex:
     """Backward search in a sequence of symbols from 1 on, with 0 between stretches.
 
@@ -134,13 +163,9 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray):
-        n = len(text)
-        rank = text
-        for step in (1, 2, 4, 8):
-            after = np.zeros(n, np.int64)
-            after[:n - step] = rank[step:] + 1
-            _, rank = np.unique(rank * (n + 2) + after, return_inverse=True)
-        self.order = np.argsort(rank, kind="stable")
+        rank = _dense(_joined(_dense(_joined(text, 3, 1)), 3, 3))
+        # the first 9 symbols, and the 9 from the eighth on
+        self.order = np.argsort(_joined(rank, 2, 7), kind="stable")
         bits = max(1, int(text.max()).bit_length())
         self.wavelet = WaveletMatrix(text[self.order - 1], bits)
         symbols = np.arange(int(text.max()) + 1)
@@ -148,12 +173,20 @@ class FMIndex:
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(text))])
 
     def find(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of suffixes that begin with each row of ``patterns``, extended word by word to the left."""
+        """For each row of ``patterns``, which all stand in the text, the range of suffixes that begin with it.
+
+        A range is extended word by word to the left until it has one suffix.  Such a pattern stands in the text once;
+        its range stays with the suffix that begins further right in that place.
+        """
         last, *others = patterns.T[::-1]
         low, high = self.begin[last], self.begin[last + 1]
-        for symbol in others:
-            low = self.begin[symbol] + self.wavelet.descend(symbol, low) - self.zero[symbol]
-            high = self.begin[symbol] + self.wavelet.descend(symbol, high) - self.zero[symbol]
+        active = np.arange(len(low))
+        for symbols in others:
+            active = active[high[active] - low[active] > 1]
+            symbol = symbols[active]
+            first = self.begin[symbol] - self.zero[symbol]
+            low[active] = first + self.wavelet.descend(symbol, low[active])
+            high[active] = first + self.wavelet.descend(symbol, high[active])
         return low, high
 
 
