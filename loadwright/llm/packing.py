@@ -20,6 +20,8 @@ LENGTH, END = 1024, 0
 
 # Words whose ids are remembered by one Python worker at a time, and characters that are split at a time.
 _CACHED, _STRETCH = 1_000_000, 1 << 20
+# Words that are encoded as one text.
+_JOINED = 2_000
 _SPACED = re.compile(r"\s ")
 _BOUNDARY = re.compile(r"(?<=\S) ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -35,22 +37,50 @@ class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Text is cut before each space that follows anything but white space, where the tokenizer's own pattern always
-    ends a token; the ids of what lies between are remembered.
+    ends a token; the ids of what lies between are remembered.  Added tokens in a text become their ids, as the tokenizer
+    does by default.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # byte-level vocabularies write each byte as one character
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
         if len(self.known) > _CACHED:
             self.known.clear()
-        missing = list(set(parts).difference(self.known))
-        for part, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.known[part] = pack_ids("<%dI" % len(found.ids), *found.ids)
+        missing = [p for p in set(parts) if p not in self.known]
+        # these may stand one after the other: a space begins each, and no white space ends it
+        words = [p for p in missing if p[:1] == " " and not p[-1].isspace()]
+        alone = [] if len(words) == len(missing) else list(set(missing).difference(words))
+        for at in range(0, len(words), _JOINED):
+            alone += self._learn_joined(words[at:at + _JOINED])
+        if alone:
+            for part, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+                self.known[part] = pack_ids("<%dI" % len(found.ids), *found.ids)
+
+    def _learn_joined(self, words: list[str]) -> list[str]:
+        """Encode many words as one text and deal the ids back by their bytes; returns the words if that does not come
+        out even, or if an added token is among them.
+        """
+        text = "".join(words)
+        if any(a in text for a in self.added):
+            return words
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.sizes[ids])
+        want = np.cumsum([len(w) for w in words] if text.isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in words])
+        last = np.searchsorted(ends, want)
+        if not len(ids) or ends[-1] != want[-1] or (ends[last] != want).any():
+            return words
+        data, at = ids.astype("<u4").tobytes(), 0
+        for word, end in zip(words, (4 * (last + 1)).tolist()):
+            self.known[word] = data[at:end]
+            at = end
+        return []
 
     def encode(self, text: str) -> bytes:
         found, at = [], 0

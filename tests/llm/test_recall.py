@@ -3,6 +3,8 @@
 import random
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loadwright.llm import spotsigs
@@ -81,3 +83,60 @@ def test_spotsigs_reach_every_content_word(spark):
     found = {r.id: tuple(r.s) for r in spotsigs.add_signatures(frame, "text", "s").collect()}
     assert len(set(found.values())) == len(texts)
     assert len(set(found[0]) & set(found[2 + 39])) > 30
+
+
+def spots(text):
+    """Chains of a text by brute force: (anchor, words) of each signature."""
+    words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    content = [i for i, w in enumerate(words) if w not in spotsigs.ANCHORS] or list(range(len(words)))
+    after = {i for i in content if i == 0 or words[i - 1] in spotsigs.ANCHORS}
+    reached = {j for k, i in enumerate(content) if i in after for j in content[k:k + spotsigs.CHAIN]}
+    out = set()
+    for k, i in enumerate(content):
+        if i in after or i not in reached:
+            anchor = words[i - 1] if i and words[i - 1] in spotsigs.ANCHORS else None
+            chain = [words[j] for j in content[k:k + spotsigs.CHAIN]]
+            out.add((anchor, *chain, *[None] * (spotsigs.CHAIN - len(chain))))
+    return out
+
+
+def test_spotsigs_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["the", "a", "is", "der", "Und", "été", "Wort", "word", "x1", "日本", "fox", "dog", "hen", "cat"]
+    rows = [r for r in DOCS if r[0] is not None and r[0] != 5] + [
+        (100 + i, "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n"]) for _ in range(rng.randrange(40))), "en", "a") for i in range(150)]
+    rows.append((400, rows[-1][1] + "end", "en", "a"))
+    ids = sorted((i for i, *_ in rows), reverse=True)
+    text = {i: t or "" for i, t, *_ in rows}
+    edited = {}
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        cut = len(text[i]) // 3
+        edited[i] = text[i][:len(text[i]) - cut] + text[j][:cut]
+    chains = sorted({c for t in (*text.values(), *edited.values()) for c in spots(t)}, key=str)
+    names = "anchor string, " + ", ".join(f"w{i} string" for i in range(spotsigs.CHAIN))
+    hashed = spark.createDataFrame(list(enumerate_rows(chains)), "n int, " + names)
+    number = {r.n: r.h for r in hashed.select("n", F.hash("anchor", *(f"w{i}" for i in range(spotsigs.CHAIN))).alias("h")).collect()}
+    hash_of = {c: number[n] for n, c in enumerate(chains)}
+
+    def prints(t):
+        return sorted({hash_of[c] for c in spots(t)})
+
+    def alike(x, y):
+        x, y = set(x), set(y)
+        return 1.0 if not x | y else len(x & y) / len(x | y)
+
+    def shown(signatures):
+        return "".join(f"{s & 0xFFFFFFFF:08x}" for s in signatures)
+
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    found = {r.doc_id: r for r in spotsigs.compare_with_edits(documents(spark, rows)).collect()}
+    assert found.keys() == text.keys()
+    for i, r in found.items():
+        own, other = prints(text[i]), prints(edited[i])
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(other)), i
+        assert (r.near_edited, r.near_next) == (alike(own, other), alike(own, prints(text[after[i]]))), i
+
+
+def enumerate_rows(chains):
+    for n, chain in enumerate(chains):
+        yield (n, *chain)
