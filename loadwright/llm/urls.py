@@ -74,16 +74,15 @@ class Level(NamedTuple):
 
 
 def _level(keys: DataFrame, count: int, depth: int) -> Level:
-    """Built where the keys are: only words of the filter come to the driver, at most its own size."""
+    """Built where the keys are: only words of the filter come to the driver, as numbers, at most twice its own size."""
     words = max(16, -(-count * BITS_PER_KEY // 64))
     size = 64 * words - 2 * depth - 1
     places = F.explode(F.transform(F.sequence(F.lit(depth * HASHES), F.lit(depth * HASHES + HASHES - 1)),
                                    lambda i: F.pmod(F.col("x") + i.cast("long") * F.col("y"), F.lit(size).cast("long"))))
     found = keys.select(places.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits")).collect()
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits")).toPandas()
     bits = np.zeros(words, np.int64)
-    for row in found:
-        bits[row["word"]] = row["bits"]
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return Level(bits.view(np.uint64), size, depth)
 
 
@@ -167,12 +166,16 @@ def listed_hosts(hosts: DataFrame, words: Sequence[str] = HOST_WORDS) -> DataFra
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, words: Sequence[str] = HOST_WORDS,
-          most_bytes: int = MOST_BYTES) -> DataFrame:
+          most_bytes: int = MOST_BYTES, listed: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, of equally long
-    ones that with the longer host.  Where none fits the verdict is block for a listed host, else allow, so a page
-    without host is allowed.
+    ones that with the longer host.  Where none fits the verdict is block for a listed host and its subdomains, else
+    allow, so a page without host is allowed.  An empty table gives no rows.
+
+    ``listed`` has the blocked hosts in a column ``host``, in any number; A-Z is lower-cased, nulls, empty hosts and
+    repeats are left out.  Only hosts that the pages have are kept in filters.  Without it the hosts of the pages that
+    have one of ``words`` in a label are blocked.
     """
     split = written(add_host_and_path(pages.select("page_id", "url")).select("page_id", "host", "path"), "urls-pages")
     parts = [rule.partition("/") for _, rule in rules]
@@ -182,16 +185,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, words: Seq
         keyed.select(F.explode("_keys").alias("key")).distinct().withColumns(dict(zip("xy", _hashes(F.col("key"))))),
         "urls-universe")
     spark = pages.sparkSession
-    listed = {
+    if listed is None:
+        hosts = listed_hosts(split.select("host").distinct(), words)
+    else:
+        given = listed.select(F.translate("host", _UPPER, _LOWER).alias("key")).where("key <> ''").distinct()
+        hosts = given.join(universe.select("key"), "key", "left_semi")
+    lists = {
         action: spark.createDataFrame([(rule,) for a, rule in rules if a == action], "key string")
         for action in ("allow", "block")
-    } | {"host": written(listed_hosts(split.select("host").distinct(), words), "urls-hosts")}
-    found = {name: cascade(keys, universe, most_bytes) for name, keys in listed.items()}
+    } | {"host": written(hosts, "urls-hosts")}
+    found = {name: cascade(keys, universe, most_bytes) for name, keys in lists.items()}
     small = {name: levels for name, levels in found.items() if levels is not None}
     hashes = [F.transform("_keys", lambda k: _hashes(k)[0]), F.transform("_keys", lambda k: _hashes(k)[1])]
     known = keyed.withColumn("_first", _lookup(small)(*hashes)) if small else keyed
     for name in found.keys() - small.keys():
-        known = _joined(known, listed[name], name)
+        known = _joined(known, lists[name], name)
     first = {name: F.col(f"_first.{name}") if name in small else F.col(f"_{name}") for name in found}
     nearest = F.least(first["allow"], first["block"])
     rule = F.get("_keys", nearest)

@@ -150,8 +150,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    rows = DOCS + [(20, "a  b \n c\t d<|endoftext|> \u00a0 e\u2028 f'll  ", "en", "a"), (21, " lead", "en", "a"), (22, "\x1c x \x85 y", "en", "a")]
+    rows = DOCS + [(23, "ab <|endoftext|> cd<|endoftext|><|endoftext|>  <|endoftext|>\n<|endof text|>", "en", "a"),
+                   (24, " ".join(f"w{i}\u00e9 {i}!" for i in range(5000)), "en", "a"), (20, "a  b \n c\t d<|endoftext|> \u00a0 e\u2028 f'll  ", "en", "a"), (21, " lead", "en", "a"), (22, "\x1c x \x85 y", "en", "a")]
     found = packing.pack_documents(documents(spark, rows), ids=True).collect()
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in found:
@@ -173,6 +173,24 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [urls.MOST_BYTES, 0])
+def test_urls_with_a_list_from_a_table(spark, most):
+    pages = spark.range(3000).selectExpr(
+        "id AS page_id", "concat('http://', if(id % 3 = 0, 'www.', ''), 'H', id % 500, if(id % 7 = 0, '.org', '.net'), '/es/') AS url")
+    hosts = [(f"h{i}.NET",) for i in range(0, 500, 9)] + [("h1.org",), ("gone.example",), (None,), ("",), ("h9.net",), ("org.",)]
+    hosts += [(f"other{i}.net",) for i in range(2000)]
+    found = urls.judge(pages, listed=spark.createDataFrame(hosts, "host string"), most_bytes=most).collect()
+    blocked = {(h or "").lower() for h, in hosts} - {""}
+    assert len(found) == 3000
+    for r in found:
+        bare = r.host.removeprefix("www.")
+        if bare.endswith(".org"):  # the rule on org allows what it fits
+            assert (r.rule, r.verdict) == ("org/", "allow")
+        else:
+            assert (r.rule, r.verdict) == (None, "block" if bare in blocked else "allow")
+    assert sum(r.verdict == "block" for r in found) > 200
+
+
 def test_long_stretches_are_cut_at_safe_places(monkeypatch):
     monkeypatch.setattr(packing, "_STRETCH", 7)
     tokens = packing.Tokens(packing.default_tokenizer())
@@ -201,6 +219,30 @@ def test_sharding(spark, copies):
     assert sharding.shard(documents(spark, [])).count() == 0
 
 
+def test_few_rows_move_where_shards_have_room(spark):
+    rng = random.Random(6)
+    docs = documents(spark, [(i, f"{i} " + "y" * rng.randrange(900, 1100), "en", "a") for i in range(4000)]).select("doc_id", "text")
+    moved = {}
+    for slack in (sharding.SLACK, 0.5):
+        before, after = ({r.doc_id: r.shard for r in sharding.shard(docs, n, slack=slack).collect()} for n in (40, 41))
+        assert before.keys() == after.keys()
+        moved[slack] = sum(before[i] != after[i] for i in before) / len(before)
+    # one of 41 shards' worth of rows is the least that can move
+    assert moved[0.5] <= 0.06 and moved[0.5] < moved[sharding.SLACK]
+
+
+def test_sharding_of_a_very_long_text(spark):
+    rows = [(i, "z" * 200, "en", "a") for i in range(300)] + [(999, "long " * 400_000, "en", "a")]
+    found = sharding.shard(documents(spark, rows)).collect()
+    loads = Counter()
+    for r in found:
+        loads[r.shard] += r.size
+    alone = [r.shard for r in found if r.doc_id == 999]
+    # the bound follows the mean, so the small rows fill one shard after the other
+    assert len(found) == 301 and loads[alone[0]] == 2_000_016
+    assert all(load <= 1.01 * sum(loads.values()) / 40 + 216 for shard, load in loads.items() if shard != alone[0])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
