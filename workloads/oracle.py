@@ -664,14 +664,16 @@ ORACLE: dict[str, str] = {
                  AS o_custkey_status
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "wave_load_orders": f"""
-        WITH chained AS (
-          SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER w AS before, last_value(o_orderkey) OVER (
-                   PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+        WITH numbered AS (
+          SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 6 AS chain FROM orders),
+        chained AS (
+          SELECT o_orderkey, o_custkey, chain, lag(o_orderkey) OVER w AS before, last_value(o_orderkey) OVER (
+                   PARTITION BY o_custkey, chain ORDER BY o_orderdate, o_orderkey
                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
-          FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+          FROM numbered WINDOW w AS (PARTITION BY o_custkey, chain ORDER BY o_orderdate, o_orderkey)),
         linked AS (
           SELECT o_orderkey, o_custkey, coalesce(before, CASE WHEN o_custkey % 10 = 0 THEN last END) AS parent,
-                 min(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey) AS opened
+                 min(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey, chain) AS opened
           FROM chained)
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(parent AS VARCHAR) AS parent,
                CASE WHEN o_custkey % 10 <> 0 OR CAST(o_orderkey AS VARCHAR) <> opened

@@ -20,7 +20,7 @@ from loadwright.operators.keymap import build_key_map, key_map_entries
 from loadwright.operators.profile import column_sketches, combine_profiles
 from loadwright.operators.report import profile_staged, unresolved_report
 from loadwright.operators.resolve import deferred_update, resolve_lookups, resolve_polymorphic
-from loadwright.operators.skew import lookup_join, previous_in_group
+from loadwright.operators.skew import lookup_join, number_rows, previous_in_group
 from loadwright.operators.staging import StagedColumn, split_rejects, stage_rows
 from loadwright.operators.waves import row_waves
 from loadwright.options import PlanOptions
@@ -615,10 +615,13 @@ def deferred_update_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ringed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order refers to the customer's one before; those of every tenth customer close to a ring."""
-    chained = _chained_orders(spark, sf_dir)
-    last = chained.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last"))
-    return chained.join(last, "o_custkey").select(
+    """Each order refers to the customer's one before, six in a chain; chains of every tenth customer close to rings."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    numbered = number_rows(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "pos")
+    chain = numbered.withColumn("chain", F.floor((F.col("pos") - 1) / 6)).drop("pos")
+    chained = previous_in_group(chain, ["o_custkey", "chain"], ["o_orderdate", "o_orderkey"], "o_orderkey", "parent")
+    last = chain.groupBy("o_custkey", "chain").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("last"))
+    return chained.join(last, ["o_custkey", "chain"]).select(
         "o_orderkey", F.coalesce("parent", F.when(F.col("o_custkey") % 10 == 0, F.col("last"))).alias("parent"))
 
 
