@@ -26,8 +26,9 @@ HASHES = 1 << 32
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _UPPER = bytes(range(0x41, 0x5B))
 _TABLE = bytes.maketrans(_SEPARATORS + _UPPER, b" " * len(_SEPARATORS) + _UPPER.lower())
-# One pattern for each length.  A run starts after a space and ends before one, and no word gives back a part of itself.
-_RUNS = [regex.compile(rb"(?<= )[^ ]++" + rb" [^ ]++" * more + rb"(?= )") for more in range(LONGEST)]
+# One pattern for each length.  A run starts after a space, which \K looks back over sooner than a lookbehind would, and
+# ends before one; no word gives back a part of itself.
+_RUNS = [regex.compile(rb" \K[^ ]++" + rb" [^ ]++" * more + rb"(?= )") for more in range(LONGEST)]
 
 
 class Grams(NamedTuple):
