@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loadwright.functions.lists import excluded_columns
 from loadwright.functions.names import fold, joined_names
-from loadwright.operators.skew import lookup_join
+from loadwright.operators.skew import lookup_join, merge_join
 from loadwright.sources.scratch import cut
 
 
@@ -42,16 +42,21 @@ def dependency_edges(columns: DataFrame, selection: DataFrame, exclusions: str |
     pairs = (
         lookups.select("org_key", fold("table").alias("src"), F.explode("targets").alias("target"))
         .select("org_key", "src", fold("target").alias("dst"))
-        .where(F.col("src") != F.col("dst")).distinct()
+        .where(F.col("src") != F.col("dst"))
     )
-    members = selection.select("org_key", fold("table").alias("t")).distinct()
-    return _inside(pairs, members)
+    members = selection.select("org_key", fold("table").alias("t"))
+    return _inside(_spread(pairs, "org_key", "src", "dst").distinct(), members)
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out before it is grouped by these keys: hardly any rows combine, and an exploded file may be one task."""
+    return df.repartition(*keys)
 
 
 def _inside(edges: DataFrame, members: DataFrame) -> DataFrame:
     for end in ("dst", "src"):
         tables = members.select("org_key", F.col("t").alias(end))
-        edges = edges.join(tables, ["org_key", end], "left_semi")
+        edges = merge_join(edges, tables, ["org_key", end], "left_semi")
     return edges.select("org_key", "src", "dst")
 
 
@@ -73,7 +78,7 @@ def load_tiers(tables: DataFrame, edges: DataFrame) -> LoadTiers:
     key = ["org_key", "t"]
     same = F.concat_ws(" ", F.lit("table listed twice:"), "org_key", "t")
     members = (
-        tables.groupBy("org_key", fold("table").alias("t")).agg(F.count(F.lit(1)).alias("_n"))
+        _spread(tables.select("org_key", fold("table").alias("t")), *key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("t", F.when(F.col("_n") > 1, F.raise_error(same)).otherwise(F.col("t"))).select(*key)
     )
     pairs = edges.select("org_key", fold("src").alias("src"), fold("dst").alias("dst")).where("src <> dst").distinct()
@@ -99,9 +104,8 @@ def _ordered(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     weight = F.col("weight") if "weight" in members.columns else F.lit(1)
     waiting = pairs.groupBy("org_key").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    catalogs = members.groupBy("org_key").agg(
-        F.collect_list(F.struct("t", weight.cast("long").alias("weight"))).alias("tables")).join(waiting, "org_key", "left")
-    return cut(catalogs.mapInPandas(_order, _ORDERED), "load-tiers")[0]
+    catalogs = members.groupBy("org_key").agg(F.collect_list(F.struct("t", weight.cast("long").alias("weight"))).alias("tables"))
+    return cut(merge_join(catalogs, waiting, ["org_key"], "left").mapInPandas(_order, _ORDERED), "load-tiers")[0]
 
 
 def _ordered_cores(members: DataFrame, pairs: DataFrame) -> DataFrame:

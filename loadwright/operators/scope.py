@@ -48,7 +48,9 @@ def with_category(df: DataFrame, name: str = "logical_name") -> DataFrame:
 def categories(tables: DataFrame) -> DataFrame:
     """Distinct categories per environment without regard to case, and their table counts."""
     return (
-        with_category(tables).groupBy("org_key", order_key("category").alias("category_key"))
+        with_category(tables).withColumn("category_key", order_key("category"))
+        # dealt out before they are grouped: an exploded file may be one task
+        .repartition("org_key", "category_key").groupBy("org_key", "category_key")
         .agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("n_tables"))
         .select("org_key", "category", "n_tables")
     )

@@ -48,6 +48,13 @@ def _plain(df: DataFrame) -> bool:
     return not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
 
 
+def merge_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join that never gathers a side: the planner's estimate leaves out how many rows an explode makes of one, so
+    that it broadcasts sides of any size.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", *,
                 right_rows: int | None = None, hot: list[int] | None = None,
                 small_rows: int | None = None) -> DataFrame:
@@ -56,14 +63,14 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     ``how`` is left, inner, left_semi or left_anti; ``right`` must be unique on ``on``.
     ``right_rows`` is its row count, or an upper bound, where the caller knows it.
 
-    A small right side is broadcast.  Where its size is not given it is not counted here: the
-    adaptive planner broadcasts or splits by the sizes it meets.  Of a large right side hot keys,
+    A small right side is broadcast.  Where its size is not given it is not counted here: both sides
+    are sorted by key, and the adaptive planner splits hot partitions.  Of a large right side hot keys,
     null keys among them, meet their few right rows by broadcast and are spread over the shuffle by
     a hash of the row without its maps; only the other rows are shuffled by key.
     """
     on = list(on)
     if right_rows is None and hot is None and small_rows is None:
-        return left.join(right, on, how)
+        return merge_join(left, right, on, how)
     limit = SMALL_ROWS if small_rows is None else small_rows
     if _plain(right) and (right.count() if right_rows is None else right_rows) <= limit:
         return left.join(F.broadcast(right), on, how)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwright.functions.names import order_key
-from loadwright.operators.skew import lookup_join, number_rows
+from loadwright.operators.skew import lookup_join, merge_join, number_rows
 from loadwright.options import PlanOptions
 
 
@@ -68,6 +68,6 @@ def plan_summary(batches: DataFrame, dropped: DataFrame, options: PlanOptions =
     warned = (
         dropped.groupBy("org_key", "src").agg(F.lit(1).alias("one"))
         .groupBy("org_key").agg(F.sum("one").cast("int").alias("n_warnings")))
-    return counts.join(warned, "org_key", "left").select(
+    return merge_join(counts, warned, ["org_key"], "left").select(
         "org_key", "n_tables", "n_tiers", "n_batches", output_count(F.col("n_batches"), options).alias("n_outputs"),
         F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))
