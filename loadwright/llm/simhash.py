@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwright.llm.common import components, needed, written
+from loadwright.operators.skew import merge_join
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -76,13 +77,13 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, dense: int = DENS
     keyed = prints.select("fp", F.posexplode(table).alias("t", "mask")).select(
         "fp", F.col("t").cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, ["t", "key"]), "simhash-buckets")
+    shared = written(merge_join(keyed, sizes, ["t", "key"], "inner"), "simhash-buckets")
 
     few = shared.where(F.col("n") <= dense)
     left, right = few.select("t", "key", F.col("fp").alias("a")), few.select("t", "key", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     same = (left["t"] == right["t"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b"))
-    compared = left.join(right, same & close).select("a", "b")
+    compared = left.join(right.hint("merge"), same & close).select("a", "b")
 
     # at most 2^(radius+1) - 1 rows, each with the ways to flip half the radius of the bits outside its mask
     reach = [(radius + 1) // 2, radius // 2]
@@ -94,7 +95,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, dense: int = DENS
         (F.bit_count("flip") <= reach[1]).alias("near"))
     # all within the larger half are within the radius of any one within the smaller half
     centre = met.where("near").groupBy("middle").agg(F.min("fp").alias("b"))
-    stars = met.join(centre, "middle").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = merge_join(met, centre, ["middle"], "inner").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return compared.union(stars)
 
 
@@ -121,10 +122,11 @@ def classes(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Data
 def _classed(prints: DataFrame, radius: int, dense: int) -> DataFrame:
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(fingerprint_links(distinct.select("fp"), radius, dense), "simhash-components")
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    linked = merge_join(distinct, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(linked.join(named, "root").select("fp", "root", "component_id"), "fp")
+    known = merge_join(linked, named, ["root"], "inner").select("fp", "root", "component_id")
+    return merge_join(prints, known, ["fp"], "inner")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
