@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,7 +31,10 @@ def simhash(data: bytes | None, shingle: int = SHINGLE) -> int:
     joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
     last = ends[shingle - 1:] or ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b - 1], SEED) for a, b in zip([0, *ends], last)]
+    return _majority([digest(joined[a:b - 1], SEED) for a, b in zip([0, *ends], last)])
+
+
+def _majority(hashes: Sequence[int] | np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         block = np.array(hashes[at:at + _BLOCK], ">u8")
@@ -205,13 +208,16 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, s
 def _similar_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links that connect the sets just as all compared pairs at the similarity do.
 
-    Each set is compared with the smallest of its bucket first; then pairs of a bucket that are still apart.
+    Each set is compared with the smallest of its class of fingerprints and of each of its buckets first; then pairs of
+    a bucket that are still apart.
     """
+    classed = classes(sets.select(F.col("node").alias("doc_id"), "fp"))
+    near = classed.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     keyed = sets.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
     shared = written(keyed.join(sizes, "key"), "simhash-shared")
     stars = shared.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    links = written(_similar(stars, docs, sets, shingle, similarity), "simhash-links")
+    links = written(_similar(near.union(stars), docs, sets, shingle, similarity), "simhash-links")
     roots = components(links, "simhash-stars")
     rooted = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -227,20 +233,23 @@ def _similar_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: f
 def keep_one_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` with one row left of each class of texts that hang together at the Jaccard similarity of their shingles.
 
-    The row is chosen as by ``keep_one``.  Texts without words are one class.
+    Texts meet by the SimHash of their different shingles, within ``RADIUS`` bits as in ``near_duplicates``.  At the
+    similarity most fingerprints are further apart than that, so they also meet in samples of shingles; what meets is
+    compared exactly.  The row is chosen as by ``keep_one``.  Texts without words are one class.
     """
 
-    @F.pandas_udf("node binary, keys array<long>")
+    @F.pandas_udf("node binary, fp long, keys array<long>")
     def of_batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [_shingles(t, shingle) for t in texts]
             yield pd.DataFrame({"node": [xxhash.xxh128_digest(f.tobytes()) for f in found],
+                                "fp": np.array([_majority(f) if len(f) else 0 for f in found], np.int64),
                                 "keys": [_sample_keys(f) if len(f) else np.zeros(0, np.int64) for f in found]})
 
     hashed = docs.withColumn("_text", F.xxhash64("text"))
     rows = written(hashed.select("doc_id", "_text", of_batch(F.col("text").cast("binary")).alias("_set")).select(
         "doc_id", "_text", "_set.*"), "simhash-sets")
-    sets = written(rows.dropDuplicates(["node"]).select("node", "_text", "keys"), "simhash-distinct-sets")
+    sets = written(rows.dropDuplicates(["node"]).select("node", "_text", "fp", "keys"), "simhash-distinct-sets")
     texts = hashed.select("_text", "text")
     roots = components(_similar_links(texts, sets, shingle, similarity), "simhash-similar")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text"))

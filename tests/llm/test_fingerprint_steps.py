@@ -14,10 +14,24 @@ def test_buckets_are_not_broadcast_by_an_estimate(spark, monkeypatch):
         return written(df, label)
 
     monkeypatch.setattr(simhash, "written", noted)
-    prints = written(spark.sql("SELECT id * 1048577 AS fp FROM range(40) UNION ALL SELECT id * 1048577 + 1 FROM range(40)"), "prints")
+    prints = written(spark.sql("SELECT id * 1048577 AS fp FROM range(40) UNION ALL SELECT id * 1048577 ^ 1 FROM range(40)"), "prints")
     links = simhash.fingerprint_links(prints, dense=2)
     assert "Broadcast" not in plans["simhash-buckets"]
     # only the table of flips is, which has one row for each mask
     assert plan_of(links).count("BroadcastExchange") == plan_of(links).count("Scan ExistingRDD")
-    found = {frozenset(r) for r in links.collect()}
-    assert {frozenset((i * 1048577, i * 1048577 + 1)) for i in range(40)} <= found
+    # each has one that differs in the last bit
+    assert {fp for link in links.collect() for fp in link} == {i * 1048577 ^ last for i in range(40) for last in (0, 1)}
+
+
+def test_stage_links_sets_by_their_fingerprints(spark):
+    base = [f"word{i * i % 1009}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(f"other{i}" for i in range(50))]
+    sets = [simhash._shingles(t.encode(), 5) for t in texts]
+    # without samples only fingerprints are left to meet by
+    rows = [(bytearray(xxhash.xxh128_digest(s.tobytes())), simhash._majority(s), []) for s in sets]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS _text", "text")
+    of_text = {r.text: r._text for r in docs.collect()}
+    frame = spark.createDataFrame([(n, of_text[t], f, k) for t, (n, f, k) in zip(texts, rows)],
+                                  "node binary, _text long, fp long, keys array<long>")
+    links = simhash._similar_links(docs, simhash.written(frame, "sets"), 5, 0.8).collect()
+    assert {frozenset(map(bytes, r)) for r in links} == {frozenset(bytes(r[0]) for r in rows[:2])}
