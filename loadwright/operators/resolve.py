@@ -31,7 +31,7 @@ def resolve_lookups(staged: DataFrame, lookups: Mapping[str, str], key_maps: Map
     ``lookups`` names the target table of each lookup column, ``key_maps`` the map of each
     table, unique on legacy_key.  The staged key itself is kept, for reports and repeats.
     Maps whose row count ``sizes`` does not give are counted.  Small maps are broadcast.  For the others the hot keys of all lookups are found in one
-    pass over the staged rows, and each lookup is one shuffled join.
+    pass over the staged rows, and each lookup is one shuffled join; broadcasts come last, so that what they find is not shuffled.
     """
     sizes = {table: _size(table, key_maps[table], sizes) for table in set(lookups.values())}
     large = [name for name, table in lookups.items() if sizes[table] > skew.SMALL_ROWS]
@@ -41,12 +41,12 @@ def resolve_lookups(staged: DataFrame, lookups: Mapping[str, str], key_maps: Map
         narrow = staged.select(*(keys[name].alias(name) for name in large))
         hot = dict(zip(large, hot_hashes(narrow, *([name] for name in large))))
     rows = staged
-    for name in sorted(lookups, key=lambda n: sizes[lookups[n]]):
+    for name in sorted(lookups, key=lambda n: (n not in large, sizes[lookups[n]])):
         entries = key_maps[lookups[name]].select(F.col("legacy_key").alias("_key"), F.col("target_id").alias("_id"))
         rows = lookup_join(rows.withColumn("_key", keys[name]), entries, ["_key"],
                            right_rows=sizes[lookups[name]], hot=hot.get(name))
-        rows = rows.withColumns({f"{name}_id": F.col("_id"), f"{name}_status": link_status(keys[name], F.col("_id"))})
-        rows = rows.drop("_key", "_id")
+        rows = rows.withColumn(f"{name}_id", F.col("_id")).drop("_key", "_id")
+    rows = rows.withColumns({f"{name}_status": link_status(keys[name], F.col(f"{name}_id")) for name in lookups})
     added = [f"{name}_{part}" for name in lookups for part in ("id", "status")]
     return rows.select(*staged.columns, *added)
 
