@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from struct import pack as pack_ids
 from zlib import crc32
 
@@ -45,40 +46,55 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words are remembered here, each is asked for once
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # byte-level vocabularies write each byte as one character
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        # ids of parts as they stand, and of words with the space before them
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: Iterable[str]) -> None:
         if len(self.known) > _CACHED:
             self.known.clear()
-        missing = [p for p in set(parts) if p not in self.known]
+        missing = list(set(parts).difference(self.known))
+        if missing:
+            self.known.update(zip(missing, self._alone(missing)))
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [pack_ids("<%dI" % len(found.ids), *found.ids)
+                for found in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn_spaced(self, words: Iterable[str]) -> None:
+        if len(self.spaced) > _CACHED:
+            self.spaced.clear()
+        missing = set(words).difference(self.spaced)
         # these may stand one after the other: a space begins each, and no white space ends it
-        words = [p for p in missing if p[:1] == " " and not p[-1].isspace()]
-        alone = [] if len(words) == len(missing) else list(set(missing).difference(words))
-        for at in range(0, len(words), _JOINED):
-            alone += self._learn_joined(words[at:at + _JOINED])
+        joined = [w for w in missing if w and not w[-1].isspace()]
+        alone = [] if len(joined) == len(missing) else list(missing.difference(joined))
+        for at in range(0, len(joined), _JOINED):
+            alone += self._learn_joined(joined[at:at + _JOINED])
         if alone:
-            for part, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-                self.known[part] = pack_ids("<%dI" % len(found.ids), *found.ids)
+            self.spaced.update(zip(alone, self._alone([" " + w for w in alone])))
 
     def _learn_joined(self, words: list[str]) -> list[str]:
         """Encode many words as one text and deal the ids back by their bytes; returns the words if that does not come
         out even, or if an added token is among them.
         """
-        text = "".join(words)
+        text = " " + " ".join(words)
         if any(a in text for a in self.added):
             return words
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         ends = np.cumsum(self.sizes[ids])
-        want = np.cumsum([len(w) for w in words] if text.isascii() else [len(w.encode("utf-8", "surrogatepass")) for w in words])
+        want = np.cumsum([1 + len(w) for w in (words if text.isascii() else (w.encode("utf-8", "surrogatepass") for w in words))])
         last = np.searchsorted(ends, want)
         if not len(ids) or ends[-1] != want[-1] or (ends[last] != want).any():
             return words
         data, at = ids.astype("<u4").tobytes(), 0
         for word, end in zip(words, (4 * (last + 1)).tolist()):
-            self.known[word] = data[at:end]
+            self.spaced[word] = data[at:end]
             at = end
         return []
 
@@ -90,16 +106,37 @@ class Tokens:
             stretch = text[at:end] if at or edge else text
             if _SPACED.search(stretch):
                 parts = _CUT.split(stretch)
+                self._learn(parts)
+                found += map(self.known.__getitem__, parts)
             else:
-                first, *rest = stretch.split(" ")
-                parts = [" " + x for x in rest]
-                if first:
-                    parts.insert(0, first)
-            self._learn(parts)
-            found += map(self.known.__getitem__, parts)
+                found += self._plain([stretch])
             at = end
         return b"".join(found)
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of each text; what is new in short ones is learned for many of them at a time."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= _STRETCH or len(waiting) >= _JOINED:
+                yield from self._together(waiting)
+                waiting, size = [], 0
+        yield from self._together(waiting)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        short = [len(t) < _STRETCH and not _SPACED.search(t) for t in texts]
+        plain = iter(self._plain([t for t, s in zip(texts, short) if s]))
+        return iter([next(plain) if s else self.encode(t) for t, s in zip(texts, short)])
+
+    def _plain(self, stretches: list[str]) -> list[bytes]:
+        """Ids of texts in which no space follows white space."""
+        words = [s.split(" ") for s in stretches]
+        firsts = [w.pop(0) for w in words]
+        self._learn(firsts)
+        self._learn_spaced(chain.from_iterable(words))
+        return [b"".join([self.known[first], *map(self.spaced.__getitem__, rest)]) for first, rest in zip(firsts, words)]
+
 
 @lru_cache(1)
 def _tokens(path: str) -> Tokens:
@@ -123,8 +160,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         tokens, last = _tokens(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"]):
-                data = tokens.encode(text or "") + last
+            texts = (text or "" for text in batch["text"])
+            for doc, ids_of in zip(batch["doc_id"].array, tokens.encode_all(texts)):
+                data = ids_of + last
                 for at in range(0, len(data), 4 * length):
                     piece = data[at:at + 4 * length]
                     row = (doc, at // 4, len(piece) // 4, crc32(piece), len(data) // 4)
