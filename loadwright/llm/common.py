@@ -21,7 +21,7 @@ def needed(df: DataFrame, *names: str) -> DataFrame:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` stored in the shared folder and read back."""
-    return cut(df, label)[0]
+    return cut(df, label, codec=None)[0]
 
 
 def word_count(text: Column) -> Column:
@@ -61,7 +61,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     state = {"mark": F.bit_xor(F.xxhash64("a", "b")), "total": F.count(F.lit(1))}
-    current, seen = cut(pairs, label, **state)
+    current, seen = cut(pairs, label, codec=None, **state)
     while seen["total"]:
         both = current.union(current.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -75,7 +75,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             merge_join(large, least, ["a"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
             .union(least.select("a", F.col("m").alias("b"))).distinct()
         )
-        after, now = cut(small, label, **state)
+        after, now = cut(small, label, codec=None, **state)
         done = now == seen
         current, seen = after, now
         if done:

@@ -47,10 +47,11 @@ def build_key_map(target_rows: DataFrame, id_col: str, match_key: str, carried:
     share take part in the search for conflicts.
     """
     rows = _keyed(target_rows, id_col, match_key, carried)
-    is_shared = F.col("_best.target_id") != F.col("_last")
-    best, seen = cut(_best(rows, carried), "key-map", shared=F.count_if(is_shared))
+    # the second id tells only whether there is one, and is not written
+    found = _best(rows, carried).select("_best", "legacy_key", (F.col("_best.target_id") != F.col("_last")).alias("_shared"))
+    best, seen = cut(found, "key-map", shared=F.count_if("_shared"))
     entries = best.select("_best.target_id", "legacy_key", *(f"_best.{c}" for c in carried))
-    winners = best.where(is_shared).select("legacy_key", F.col("_best.target_id").alias("kept_id"))
+    winners = best.where("_shared").select("legacy_key", F.col("_best.target_id").alias("kept_id"))
     return KeyMap(entries, _left_out(rows, winners, seen["shared"]))
 
 

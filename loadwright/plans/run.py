@@ -23,7 +23,7 @@ from loadwright.operators.waves import with_waves
 from loadwright.options import PlanOptions
 from loadwright.sources.commits import PART, newest
 from loadwright.sources.journal import record, recorded
-from loadwright.sources.scratch import cut, new_path
+from loadwright.sources.scratch import CODEC, cut, new_path
 from loadwright.sources.tables import (CREATE_IF_MISSING, DROP_AND_RECREATE, accumulate_key_map, add_parts, publish,
                                        rebuild_key_map, rewrite_parts, stored_rows, write_staging)
 
@@ -225,7 +225,7 @@ def run_plan(spark: SparkSession, order: DataFrame, dropped: DataFrame, loads: M
         placed = resolved(with_waves(rows, job.match_key, links[0], "_wave").withColumn("_wave", wave), table)
         path = new_path(spark, f"waves-{table}")
         # ranges keep the rows of a wave together and split a large one
-        placed.repartitionByRange("_wave", F.xxhash64(job.match_key)).write.partitionBy("_wave").parquet(path)
+        placed.repartitionByRange("_wave", F.xxhash64(job.match_key)).write.partitionBy("_wave").parquet(path, compression=CODEC)
         stored = spark.read.schema(placed.schema).parquet(path)
         last = stored.agg(F.max("_wave")).first()[0] or 0
         earlier, n_earlier = key_map(table), size(table)

@@ -11,6 +11,9 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Ids are text of random digits: nothing repeats for snappy, but they take half the room in a code of their characters.
+CODEC = "zstd"
+
 _SETTING = "spark.checkpoint.dir"
 _local_root: str | None = None
 
@@ -56,10 +59,13 @@ def _counts(seen: Observation, counts: dict[str, Column]) -> dict[str, int]:
     return {name: found.get(name) or 0 for name in ("rows", *counts)}
 
 
-def cut(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """Write ``df`` as Parquet and read it back: as ``settle``, but columnar, for large frames."""
+def cut(df: DataFrame, label: str, codec: str | None = CODEC, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Write ``df`` as Parquet and read it back: as ``settle``, but columnar, for large frames.
+
+    Without ``codec`` the session's is used.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     observed, seen = _observed(df, counts)
-    observed.write.parquet(path)
+    observed.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), _counts(seen, counts)

@@ -16,6 +16,7 @@ from loadwright.operators.skew import hot_hashes, lookup_join
 from loadwright.operators.staging import StagedColumn
 from loadwright.sources.commits import (APPEND, PART, PARTS, REPLACE, Entry, columns_of, commit, field_list, live_folders,
                                         newest, version_store)
+from loadwright.sources.scratch import CODEC
 
 # How a staging table is prepared before rows are appended.
 DROP_AND_RECREATE, CREATE_IF_MISSING = "drop_recreate", "create_if_missing"
@@ -33,7 +34,7 @@ def write_staging(df: DataFrame, name: str, columns: Sequence[StagedColumn],
     if mode == DROP_AND_RECREATE:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     fields = ", ".join(f"`{c.name}` {spark_type(c.sql_type)}" for c in columns)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet OPTIONS (compression '{CODEC}')")
     df.select(*(c.name for c in columns)).write.insertInto(name)
     return spark.table(name)
 
@@ -65,14 +66,14 @@ def _write_version(df: DataFrame, name: str, folder: str, key: str | None, bucke
         database = name.rpartition(".")[0]
         # files of a bucketed table can only be written through the catalog; dropping the name leaves them
         helper = f"{database + '.' if database else ''}writing_{folder}"
-        spark.sql(f"CREATE TABLE {helper} ({field_list(columns_of(df))}) USING parquet "
+        spark.sql(f"CREATE TABLE {helper} ({field_list(columns_of(df))}) USING parquet OPTIONS (compression '{CODEC}') "
                   f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
         try:
             counted.repartitionById(buckets, F.pmod(F.hash(key), F.lit(buckets))).write.insertInto(helper)
         finally:
             spark.sql(f"DROP TABLE {helper}")
     else:
-        counted.write.parquet(path)
+        counted.write.parquet(path, compression=CODEC)
     return _reported(seen, "rows")
 
 
@@ -214,7 +215,7 @@ def _write_parts(df: DataFrame, name: str, open_rows: Column | None) -> tuple[st
         df = _same_shape(spark, _filled(df, spark.table(name)), name)
     seen = Observation()
     marked = df.observe(seen, F.count_if(F.lit(False) if open_rows is None else open_rows).alias("open"))
-    marked.write.partitionBy(PART).parquet(f"{version_store(spark, name).root}/{folder}")
+    marked.write.partitionBy(PART).parquet(f"{version_store(spark, name).root}/{folder}", compression=CODEC)
     return folder, _reported(seen, "open")
 
 
