@@ -208,16 +208,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, s
 def _similar_links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links that connect the sets just as all compared pairs at the similarity do.
 
-    Each set is compared with the smallest of its class of fingerprints and of each of its buckets first; then pairs of
-    a bucket that are still apart.
+    A bucket holds the sets of one sample's key or of one class of fingerprints.  Each set is compared with the smallest of
+    each of its buckets first; then pairs of a bucket that are still apart.
     """
     classed = classes(sets.select(F.col("node").alias("doc_id"), "fp"))
-    near = classed.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    keyed = sets.select("node", F.explode("keys").alias("key"))
+    keyed = sets.select("node", F.explode("keys").alias("key")).union(classed.select("doc_id", F.xxhash64("component_id")))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
     shared = written(keyed.join(sizes, "key"), "simhash-shared")
     stars = shared.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    links = written(_similar(near.union(stars), docs, sets, shingle, similarity), "simhash-links")
+    links = written(_similar(stars, docs, sets, shingle, similarity), "simhash-links")
     roots = components(links, "simhash-stars")
     rooted = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")

@@ -35,3 +35,19 @@ def test_stage_links_sets_by_their_fingerprints(spark):
                                   "node binary, _text long, fp long, keys array<long>")
     links = simhash._similar_links(docs, simhash.written(frame, "sets"), 5, 0.8).collect()
     assert {frozenset(map(bytes, r)) for r in links} == {frozenset(bytes(r[0]) for r in rows[:2])}
+
+
+def test_stage_compares_all_texts_of_a_class_of_fingerprints(spark):
+    base = [f"word{i * i % 1009}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), *(" ".join(f"{x}{i}" for i in range(50)) for x in ("other", "further"))]
+    sets = [simhash._shingles(t.encode(), 5) for t in texts]
+    nodes = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+    # one class, in which each of the others is the first in turn; the two near copies meet by it alone
+    for first in range(4):
+        names = [bytes([i != first]) + n for i, n in enumerate(nodes)]
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS _text", "text")
+        of_text = {r.text: r._text for r in docs.collect()}
+        rows = [(bytearray(n), of_text[t], i, []) for i, (n, t) in enumerate(zip(names, texts))]
+        frame = spark.createDataFrame(rows, "node binary, _text long, fp long, keys array<long>")
+        links = simhash._similar_links(docs, simhash.written(frame, "sets"), 5, 0.8).collect()
+        assert {frozenset(map(bytes, r)) for r in links} == {frozenset(names[:2])}
